@@ -147,13 +147,13 @@ def silhouette_sq_euclidean(df: DataFrame, cols: list[str], label_col: str,
         b = others[0] if len(others) == 1 else F.least(*others)
         other = F.when(F.col("_l") == lab, b) if other is None else other.when(F.col("_l") == lab, b)
     s = (
-        F.when(own_w == F.col("_w"), F.lit(0.0))
+        F.when(F.col("_cw") == F.col("_w"), F.lit(0.0))
         .when(F.col("_a") < F.col("_b"), F.lit(1.0) - F.col("_a") / F.col("_b"))
         .when(F.col("_a") > F.col("_b"), F.col("_b") / F.col("_a") - F.lit(1.0))
         .otherwise(F.lit(0.0))
     )
-    per_point = pts.select("_w", own_w.alias("_W"), own.alias("_a"), other.alias("_b")).select(
-        "_w", F.when(F.col("_W") == F.col("_w"), F.lit(0.0)).otherwise(s).alias("_s")
+    per_point = pts.select("_w", own_w.alias("_cw"), own.alias("_a"), other.alias("_b")).select(
+        "_w", s.alias("_s")
     )
     return per_point.agg((F.sum(F.col("_s") * F.col("_w")) / F.sum("_w")).alias("silhouette"))
 

@@ -50,15 +50,17 @@ def temporal_drift(shares: DataFrame) -> DataFrame:
     two neighbouring periods).  The list of periods is small; the lag over it
     is an un-partitioned window on that list only.
     """
-    s = shares.select("period", "segment_id", "share")
-    periods = s.select("period").distinct()
-    links = periods.withColumn("prev_period", F.lag("period").over(Window.orderBy("period"))).where(
-        F.col("prev_period").isNotNull()
+    periods = shares.select("period").distinct()
+    links = periods.select(
+        F.col("period").alias("_cur"), F.lag("period").over(Window.orderBy("period")).alias("_prev")
+    ).where(F.col("_prev").isNotNull())
+    older = shares.select(F.col("period").alias("_pp"), F.col("segment_id").alias("_sp"), F.col("share").alias("p_prev"))
+    prev = older.join(links, older["_pp"] == links["_prev"]).select(
+        F.col("_cur").alias("period"), F.col("_sp").alias("segment_id"), "p_prev"
     )
-    prev = s.join(links, s["period"] == links["prev_period"]).select(
-        links["period"].alias("period"), s["segment_id"], s["share"].alias("p_prev")
+    cur = shares.select("period", "segment_id", F.col("share").alias("p_now")).join(
+        links.select(F.col("_cur").alias("period")), "period"
     )
-    cur = s.join(links.select("period"), "period").select("period", "segment_id", F.col("share").alias("p_now"))
     both = cur.join(prev, ["period", "segment_id"], "full_outer").select(
         "period", F.coalesce("p_now", F.lit(0.0)).alias("a"), F.coalesce("p_prev", F.lit(0.0)).alias("b")
     )
@@ -67,6 +69,7 @@ def temporal_drift(shares: DataFrame) -> DataFrame:
         F.sum(F.abs(diff)).alias("l1_drift"),
         F.sum(diff * F.ln((F.col("a") + PSI_EPS) / (F.col("b") + PSI_EPS))).alias("psi_drift"),
     )
+    links = links.select(F.col("_cur").alias("period"), F.col("_prev").alias("prev_period"))
     return out.join(links, "period").select("period", "prev_period", "l1_drift", "psi_drift").orderBy("period")
 
 
