@@ -35,6 +35,8 @@ def grouped_median(
     groups x columns rows; callers with a bounded number of groups (e.g.
     segments, at most k) broadcast it, others get a shuffle join.
     """
+    if not value_cols:
+        return df.select(*group_cols).distinct()
     keys = list(group_cols) + ["_f"]
     items = [F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v")) for c in value_cols]
     long = (
