@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions import nan_to_null, strip_ws
-from sessionlens.schema import require_unique
 
 # Default category key (trimmed, lower-cased) -> content type.
 DEFAULT_CATEGORY_MAP = {
@@ -86,11 +85,17 @@ def add_labels(
     The item table is a dimension: Spark broadcasts it only when its estimated
     size is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-checks
     the real size); beyond that it is a shuffle join with skew splitting.
-    ``validate`` checks that item ids are unique (one aggregate job).
+    ``validate`` makes the plan fail if an item id repeats.
     """
-    if validate:
-        require_unique(items, ["id"], "items")
     it = label_items(items, category_map)
+    if validate:
+        # many-to-one contract checked inside the same plan (no extra job)
+        n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+        it = it.withColumn("_n_id", n).where(
+            F.when(F.col("_n_id") > 1, F.raise_error(F.concat(F.lit("items: key ['id'] is not unique, e.g. id="),
+                                                              F.col("id").cast("string"))))
+            .otherwise(F.lit(True))
+        ).drop("_n_id")
     dim = it.select(
         F.col("id").alias("_item_id"), "content_type", "price_in_usd", "price_bucket", "brand", "variant", "category"
     )

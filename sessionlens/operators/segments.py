@@ -213,9 +213,9 @@ def segment_profile(user_features: DataFrame, assignments: DataFrame, features:
     cols = profile_columns(features)
     asg = assignments.select(id_col, F.col(label_col).cast("int").alias(label_col))
     j = user_features.join(asg, id_col, "inner").where(F.col(label_col) >= 0)
-    means = j.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_users"), *[F.avg(c).alias(f"{c}_mean") for c in cols])
-    medians = grouped_median(j, [label_col], cols, suffix="_median")
-    out = means.join(medians, label_col, "left")
+    # means and n_users ride along in the median's first grouped pass
+    out = grouped_median(j, [label_col], cols, suffix="_median",
+                         extra_aggs=[F.count(F.lit(1)).alias("n_users")] + [F.avg(c).alias(f"{c}_mean") for c in cols])
     ordered = ["n_users"]
     for c in cols:
         ordered += [f"{c}_mean", f"{c}_median"]

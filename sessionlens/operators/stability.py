@@ -46,31 +46,38 @@ def segment_shares(events: DataFrame, assignments: DataFrame, period: str = "M")
 def temporal_drift(shares: DataFrame) -> DataFrame:
     """L1 and PSI between each period and the previous observed one.
 
-    Segments missing from one side count as share 0 (full outer join on the
-    two neighbouring periods).  The list of periods is small; the lag over it
-    is an un-partitioned window on that list only.
+    One pass over the (period, segment) share table: every row is emitted
+    once as "current" for its own period and once as "previous" for the next
+    observed period (found with a range window over the period order), then
+    the two sides are summed per (period, segment).  A segment missing on one
+    side counts as share 0.  The share table has one row per (period,
+    segment), so the un-partitioned window is over a small table.
     """
-    periods = shares.select("period").distinct()
-    links = periods.select(
-        F.col("period").alias("_cur"), F.lag("period").over(Window.orderBy("period")).alias("_prev")
-    ).where(F.col("_prev").isNotNull())
-    older = shares.select(F.col("period").alias("_pp"), F.col("segment_id").alias("_sp"), F.col("share").alias("p_prev"))
-    prev = older.join(links, older["_pp"] == links["_prev"]).select(
-        F.col("_cur").alias("period"), F.col("_sp").alias("segment_id"), "p_prev"
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    t = F.timestamp_diff("MICROSECOND", epoch, F.col("period").cast("timestamp_ntz"))
+    s = shares.select("period", "segment_id", "share", t.alias("_t"))
+    nxt = F.min("period").over(Window.orderBy("_t").rangeBetween(1, Window.unboundedFollowing))
+    s = s.withColumn("_next", nxt)
+    rows = F.array(
+        F.struct(F.col("period").alias("period"), F.col("share").alias("a"), F.lit(0.0).alias("b"),
+                 F.lit(None).cast("timestamp_ntz").alias("prev")),
+        F.struct(F.col("_next").alias("period"), F.lit(0.0).alias("a"), F.col("share").alias("b"),
+                 F.col("period").alias("prev")),
     )
-    cur = shares.select("period", "segment_id", F.col("share").alias("p_now")).join(
-        links.select(F.col("_cur").alias("period")), "period"
-    )
-    both = cur.join(prev, ["period", "segment_id"], "full_outer").select(
-        "period", F.coalesce("p_now", F.lit(0.0)).alias("a"), F.coalesce("p_prev", F.lit(0.0)).alias("b")
+    both = (
+        s.select("segment_id", F.explode(rows).alias("r"))
+        .select("segment_id", "r.*")
+        .where(F.col("period").isNotNull())
+        .groupBy("period", "segment_id")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("prev").alias("prev"))
     )
     diff = F.col("a") - F.col("b")
     out = both.groupBy("period").agg(
+        F.max("prev").alias("prev_period"),
         F.sum(F.abs(diff)).alias("l1_drift"),
         F.sum(diff * F.ln((F.col("a") + PSI_EPS) / (F.col("b") + PSI_EPS))).alias("psi_drift"),
     )
-    links = links.select(F.col("_cur").alias("period"), F.col("_prev").alias("prev_period"))
-    return out.join(links, "period").select("period", "prev_period", "l1_drift", "psi_drift").orderBy("period")
+    return out.where(F.col("prev_period").isNotNull()).select("period", "prev_period", "l1_drift", "psi_drift").orderBy("period")
 
 
 def adjusted_rand_index(labels: DataFrame, true_col: str, pred_col: str, weight_col: str | None = None) -> DataFrame:

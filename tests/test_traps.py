@@ -161,8 +161,8 @@ def test_duplicate_item_id_raises(spark):
     it = spark.createDataFrame([(1, "a"), (1, "b")], "id long, category string").select(
         "id", F.lit("n").alias("name"), F.lit("b").alias("brand"), F.lit("v").alias("variant"), "category",
         F.lit(1.0).alias("price_in_usd"))
-    with pytest.raises(ValueError, match="not unique"):
-        labels.add_labels(ev, it)
+    with pytest.raises(Exception, match="not unique"):
+        labels.add_labels(ev, it).events.collect()
 
 
 def test_week_floor_and_period_gap(spark):
