@@ -33,7 +33,8 @@ def share_column(content_type: str) -> str:
 def user_session_features(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("user_id").agg(
         F.count("session_key").alias("n_sessions"),
-        F.avg("session_duration_sec").alias("mean_session_duration"),
+        # durations are whole microseconds: average them exactly as integers
+        (F.avg(F.round(F.col("session_duration_sec") * 1e6).cast("long")) / 1e6).alias("mean_session_duration"),
         F.avg(F.col("has_purchase").cast("double")).alias("purchase_rate_sessions"),
         F.avg(F.col("has_add_to_cart").cast("double")).alias("add_to_cart_rate_sessions"),
         F.avg("n_events").alias("mean_events_per_session"),

@@ -2,8 +2,8 @@
 
 All queries read the shared parquet tables through the adapters in
 ``sources.driver_tables`` and run over the whole tables.  Double columns are
-rounded to 6 places (and -0.0 cleared) for the cross-engine value hash; the
-operators themselves return full precision.
+rounded half-up to 6 places (and -0.0 cleared) for the cross-engine value
+hash; the operators themselves return full precision.
 """
 
 from __future__ import annotations
@@ -24,7 +24,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)
+            # the same IEEE steps as the SQL side (Spark's round() is decimal HALF_UP,
+            # DuckDB's rounds the binary value: they disagree on exact ties)
+            scale = float(10 ** digits)
+            r = F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+            c = (F.when(F.isnan(c) | (F.abs(c) >= F.lit(1e9)), c).otherwise(r) + F.lit(0.0)).alias(f.name)
         cols.append(c)
     return df.select(*cols)
 

@@ -39,7 +39,9 @@ def build(final: str, *needs: str, doubles: tuple[str, ...] = ()) -> str:
     head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
     body = f"{head}{final}"
     if doubles:
-        repl = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles)
+        repl = ", ".join(
+            f"CASE WHEN isnan({c}) OR abs({c}) >= 1e9 THEN {c} ELSE floor({c} * 1e6 + 0.5) / 1e6 END + 0.0 AS {c}"
+            for c in doubles)
         return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) q"
     return body
 
@@ -137,7 +139,7 @@ _entropy_sql = " + ".join(f"CASE WHEN {c} > 0 THEN {c} * ln({c}) ELSE 0.0 END" f
 
 def _user_features(ev: str, ses: str, prefix: str) -> None:
     cte(f"{prefix}user_sess", [ses], f"""SELECT user_id, count(session_key) AS n_sessions,
-  avg(session_duration_sec) AS mean_session_duration,
+  avg(CAST(round(session_duration_sec * 1e6) AS BIGINT)) / 1e6 AS mean_session_duration,
   avg(CAST(has_purchase AS DOUBLE)) AS purchase_rate_sessions,
   avg(CAST(has_add_to_cart AS DOUBLE)) AS add_to_cart_rate_sessions,
   avg(n_events) AS mean_events_per_session,
