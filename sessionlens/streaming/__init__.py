@@ -1,0 +1,7 @@
+"""Streaming operators.
+
+The analysis this package rebuilds is batch-only: it reads whole event files,
+and sessions come from a supplied session id, not from time gaps.  There is
+no stream source, watermark, session window or state to rebuild, so this
+subpackage is intentionally empty (see README, "Not built").
+"""
