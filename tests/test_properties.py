@@ -54,3 +54,14 @@ def test_golden_counts_sf0001(lab, spark):
     assert j.count() == 149
     f = {r["step"]: r["n_sessions"] for r in paths.funnel(j).collect()}
     assert f == {"sessions": 149, "add_to_cart": 114, "purchase": 116}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10])
+def test_journey_chunking_does_not_change_results(lab, hot):
+    """Forcing (almost) every session to be 'hot' splits it into time chunks; results stay the same."""
+    base = _rows(paths.build_session_journeys(lab))
+    got = _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot)))
+    assert got == base
+    cfg = dict(max_steps=3, drop_repeats=False)
+    assert _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot, **cfg))) == _rows(
+        paths.build_session_journeys(lab, paths.JourneyConfig(**cfg)))
