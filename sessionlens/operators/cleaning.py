@@ -7,7 +7,9 @@ number of copies is cut to one row per map task before it is exchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from sessionlens.schema import EVENT_KEY, SRC_ORDER
 
@@ -30,9 +32,31 @@ def dedup_events(events: DataFrame) -> DataFrame:
     return events.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def clean_events(events: DataFrame) -> DataFrame:
+@dataclass
+class DedupReport:
+    """Rows before/after de-duplication, filled in by the first action on the cleaned events.
+
+    Collected with Spark observations (metrics of the running job), so
+    reporting the count costs no extra job.
+    """
+
+    before: Observation = field(default_factory=lambda: Observation("dedup_before"))
+    after: Observation = field(default_factory=lambda: Observation("dedup_after"))
+
+    @property
+    def removed(self) -> int:
+        return int(self.before.get["n"]) - int(self.after.get["n"])
+
+
+def clean_events(events: DataFrame, report: DedupReport | None = None) -> DataFrame:
     """Typed events -> country filled, incomplete rows dropped, key duplicates removed."""
-    return dedup_events(drop_incomplete_events(fill_country(events)))
+    kept = drop_incomplete_events(fill_country(events))
+    if report is not None:
+        kept = kept.observe(report.before, F.count(F.lit(1)).alias("n"))
+    out = dedup_events(kept)
+    if report is not None:
+        out = out.observe(report.after, F.count(F.lit(1)).alias("n"))
+    return out
 
 
 def first_per_id(items: DataFrame, id_col: str = "id") -> DataFrame:

@@ -21,7 +21,7 @@ from sessionlens.functions import (
     strict_timestamp,
     strip_ws,
 )
-from sessionlens.operators.cleaning import clean_events, first_per_id, latest_per_id
+from sessionlens.operators.cleaning import DedupReport, clean_events, first_per_id, latest_per_id
 from sessionlens.schema import (
     REQUIRED_EVENTS_COLS,
     REQUIRED_ITEMS_COLS,
@@ -36,6 +36,7 @@ class LoadedData:
     events: DataFrame
     items: DataFrame
     users: DataFrame
+    dedup: DedupReport | None = None
 
 
 def read_text_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -84,8 +85,10 @@ def parse_users(raw: DataFrame, date_format: str | None = None) -> DataFrame:
     return _typed(raw, casts)
 
 
-def load_events(spark: SparkSession, path: str, date_format: str | None = None) -> DataFrame:
-    return clean_events(parse_events(read_text_csv(spark, path, "events"), date_format))
+def load_events(spark: SparkSession, path: str, date_format: str | None = None,
+                report: DedupReport | None = None) -> DataFrame:
+    """Parsed, cleaned, de-duplicated events; ``report`` receives the removed-row count."""
+    return clean_events(parse_events(read_text_csv(spark, path, "events"), date_format), report)
 
 
 def load_items(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +107,10 @@ def load_all(
     users_file: str = "users.csv",
 ) -> LoadedData:
     base = raw_dir.rstrip("/")
+    report = DedupReport()
     return LoadedData(
-        events=load_events(spark, f"{base}/{events_file}"),
+        events=load_events(spark, f"{base}/{events_file}", report=report),
         items=load_items(spark, f"{base}/{items_file}"),
         users=load_users(spark, f"{base}/{users_file}"),
+        dedup=report,
     )

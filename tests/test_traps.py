@@ -67,6 +67,13 @@ def test_int_text_and_null_type_row(spark, csv_dir):
     assert ev.where((F.col("item_id") == 5)).count() == 1
 
 
+def test_dedup_report_counts_removed_rows(spark, csv_dir):
+    report = cleaning.DedupReport()
+    ev = csv_loader.load_events(spark, os.path.join(csv_dir, "events1.csv"), report=report)
+    ev.write.format("noop").mode("overwrite").save()
+    assert report.removed == 1  # the ' NA ' row repeats the first row's key
+
+
 def test_strict_ids_raise(spark, csv_dir):
     for name in ("bad_ids.csv", "null_ids.csv"):
         with pytest.raises(Exception):
