@@ -208,14 +208,25 @@ def renumber(assignments: DataFrame, label_col: str = "segment_id") -> DataFrame
 
 
 def segment_profile(user_features: DataFrame, assignments: DataFrame, features: list[str],
-                    id_col: str = "user_id", label_col: str = "segment_id") -> DataFrame:
-    """Per segment (>= 0): n_users, then <f>_mean and <f>_median of the profile columns."""
+                    id_col: str = "user_id", label_col: str = "segment_id", median: str = "exact") -> DataFrame:
+    """Per segment (>= 0): n_users, then <f>_mean and <f>_median of the profile columns.
+
+    ``median="exact"`` (default) is the interpolated median with bounded task
+    memory (two grouped passes); ``median="approx"`` is one pass with
+    ``percentile_approx`` (a data value within 1/10000 of the middle rank).
+    """
     cols = profile_columns(features)
     asg = assignments.select(id_col, F.col(label_col).cast("int").alias(label_col))
     j = user_features.join(asg, id_col, "inner").where(F.col(label_col) >= 0)
-    # means and n_users ride along in the median's first grouped pass
-    out = grouped_median(j, [label_col], cols, suffix="_median",
-                         extra_aggs=[F.count(F.lit(1)).alias("n_users")] + [F.avg(c).alias(f"{c}_mean") for c in cols])
+    extra = [F.count(F.lit(1)).alias("n_users")] + [F.avg(c).alias(f"{c}_mean") for c in cols]
+    if median == "approx":
+        out = j.groupBy(label_col).agg(*extra, *[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)
+                                                 .alias(f"{c}_median") for c in cols])
+    elif median == "exact":
+        # means and n_users ride along in the median's first grouped pass
+        out = grouped_median(j, [label_col], cols, suffix="_median", extra_aggs=extra)
+    else:
+        raise ValueError("median must be 'exact' or 'approx'")
     ordered = ["n_users"]
     for c in cols:
         ordered += [f"{c}_mean", f"{c}_median"]

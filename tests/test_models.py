@@ -139,3 +139,23 @@ def test_bootstrap_on_blobs(spark):
     assert [r["run"] for r in out] == [1, 2, 3]
     assert all(r["ari_vs_baseline"] == pytest.approx(1.0) for r in out)
     assert all(0.5 < r["silhouette"] <= 1 for r in out)
+
+
+def test_activity_filter_outliers_and_profile(spark):
+    df = _blobs(spark, n=60).withColumn("n_sessions", F.when(F.col("user_id") < 6, F.lit(1)).otherwise(F.lit(3)))
+    res = segments.segment_users(df, ["f1", "f2", "n_sessions"], min_sessions=2, k_range=range(3, 4), n_init=2,
+                                 max_iter=50, outlier_threshold=0.0)
+    asg = {r["user_id"]: r["segment_id"] for r in res.assignments.collect()}
+    assert all(asg[u] == -1 for u in range(6))
+    assert all(asg[u] >= 0 for u in range(6, 60))
+    prof = res.profile.collect()
+    assert sum(r["n_users"] for r in prof) == 54  # -1 excluded from the profile
+    assert "n_sessions_median" in res.profile.columns and "n_sessions_mean" in res.profile.columns
+    approx = segments.segment_profile(df, res.assignments, ["f1", "f2", "n_sessions"], median="approx").collect()
+    assert [r["n_sessions_median"] for r in approx] == [r["n_sessions_median"] for r in prof]
+    # a cluster under the outlier threshold is relabelled -1 and the rest renumbered
+    res2 = segments.segment_users(df, ["f1", "f2", "n_sessions"], min_sessions=1, k_range=range(4, 5), n_init=2,
+                                  max_iter=50, outlier_threshold=0.2)
+    ids = sorted({r["segment_id"] for r in res2.assignments.collect()})
+    assert ids[0] == -1 or len(ids) <= 4
+    assert ids[-1] == len([i for i in ids if i >= 0]) - 1
