@@ -12,6 +12,7 @@ is Poisson around frac * N instead of exactly floor(frac * N).
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -60,6 +61,7 @@ def bootstrap_stability(
     n_init: int = 20,
     max_iter: int = 300,
     id_col: str = "user_id",
+    parallelism: int = 8,
 ) -> DataFrame:
     """Rows (run, ari_vs_baseline, silhouette), one per bootstrap run.
 
@@ -72,18 +74,21 @@ def bootstrap_stability(
     ).where(F.col("segment_id").isNotNull())
     scaled = reliable(standardize(base, features, keep=[id_col, "segment_id"]))
     vec = vectors(scaled, features, [id_col, "segment_id"]).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for run in range(1, runs + 1):
+    def one_run(run: int):
         w = poisson_draws(hash_uniform(F.col(id_col), F.lit(run), F.lit(seed)), sample_frac)
         sample = vec.withColumn("w", w.cast("double")).where(F.col("w") > 0)
-        model, _ = fit_best_kmeans(sample, chosen_k, seed + run, n_init, max_iter, weight_col="w")
+        model, _ = fit_best_kmeans(sample, chosen_k, seed + run, n_init, max_iter, weight_col="w", parallelism=1)
         preds = model.transform(sample)
         ari = adjusted_rand_index(preds, "segment_id", "prediction", weight_col="w").first()["ari"]
         if preds.select("prediction").distinct().limit(2).count() > 1:
             sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", weightCol="w").evaluate(preds)
         else:
             sil = float("nan")
-        rows.append((run, float(ari), float(sil)))
+        return (run, float(ari), float(sil))
+
+    # runs are independent jobs over the same cached vectors: submit a few at once
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one_run, range(1, runs + 1)))
     vec.unpersist()
     scaled.unpersist()
     return spark.createDataFrame(rows, "run int, ari_vs_baseline double, silhouette double")

@@ -9,6 +9,7 @@ codegen and needs no join.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -168,19 +169,39 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _fit(vec: DataFrame, k: int, seed: int, max_iter: int, weight_col: str | None):
+    km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="prediction")
+    if weight_col:
+        km = km.setWeightCol(weight_col)
+    model = km.fit(vec)
+    return model, model.summary.trainingCost
+
+
+def fit_grid(vec: DataFrame, ks: list[int], seeds: list[int], max_iter: int, weight_col: str | None = None,
+             parallelism: int = 4) -> dict:
+    """Fit every (k, seed); return {k: (best model, cost)} (lowest cost, then lowest seed).
+
+    Fits are independent Spark jobs over the same cached vectors; like MLlib's
+    CrossValidator(parallelism=...), up to ``parallelism`` of them are
+    submitted at once from driver threads.
+    """
+    grid = [(k, sd) for k in ks for sd in seeds]
+    if parallelism > 1 and len(grid) > 1:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fitted = list(pool.map(lambda g: _fit(vec, g[0], g[1], max_iter, weight_col), grid))
+    else:
+        fitted = [_fit(vec, k, sd, max_iter, weight_col) for k, sd in grid]
+    best: dict = {}
+    for (k, sd), (model, cost) in zip(grid, fitted):
+        if k not in best or cost < best[k][1]:
+            best[k] = (model, cost)
+    return best
+
+
 def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int, max_iter: int,
-                    weight_col: str | None = None):
+                    weight_col: str | None = None, parallelism: int = 4):
     """Best of ``n_init`` MLlib k-means fits (seeds seed .. seed+n_init-1) by training cost."""
-    best = None
-    for i in range(n_init):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="prediction")
-        if weight_col:
-            km = km.setWeightCol(weight_col)
-        model = km.fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+    return fit_grid(vec, [k], list(range(seed, seed + n_init)), max_iter, weight_col, parallelism)[k]
 
 
 def outlier_policy(labels: DataFrame, threshold: float, label_col: str = "segment_id") -> DataFrame:
@@ -244,6 +265,7 @@ def segment_users(
     max_iter: int = 300,
     n_init: int = 20,
     outlier_threshold: float = 0.0,
+    parallelism: int = 8,
 ) -> SegmentationResult:
     spark = user_features.sparkSession
     features = features or feature_columns(user_features)
@@ -252,9 +274,11 @@ def segment_users(
     scaled = reliable(standardize(eligible, features, keep=[id_col]))
     vec = vectors(scaled, features, [id_col]).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+    best = fit_grid(vec, [int(k) for k in k_range], list(range(seed, seed + n_init)), max_iter,
+                    parallelism=parallelism)
     rows, models = [], {}
     for k in k_range:
-        model, cost = fit_best_kmeans(vec, int(k), seed, n_init, max_iter)
+        model, cost = best[int(k)]
         sil = float(evaluator.evaluate(model.transform(vec)))
         rows.append((int(k), sil, float(cost)))
         models[int(k)] = model

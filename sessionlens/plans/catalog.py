@@ -198,20 +198,19 @@ def _segmentation(spark, sf, **kw):
 
 
 def q_kmeans_segments(spark, sf):
-    return _segmentation(spark, sf, k_range=range(3, 8), n_init=5).assignments
+    return _segmentation(spark, sf, k_range=range(3, 8)).assignments
 
 
 def q_k_selection(spark, sf):
-    return _segmentation(spark, sf, k_range=range(3, 8), n_init=5).model_info
+    return _segmentation(spark, sf, k_range=range(3, 8)).model_info
 
 
 def q_bootstrap(spark, sf):
     from sessionlens.operators import bootstrap
 
     uf = user_features_of(spark, sf)
-    res = segments.segment_users(uf, segments.feature_columns(uf), k_range=range(3, 8), n_init=5)
-    return bootstrap.bootstrap_stability(uf, res.assignments, res.feature_columns, res.chosen_k,
-                                         runs=5, n_init=2)
+    res = segments.segment_users(uf, segments.feature_columns(uf), k_range=range(3, 8))
+    return bootstrap.bootstrap_stability(uf, res.assignments, res.feature_columns, res.chosen_k)
 
 
 def q_pipeline(spark, sf):
