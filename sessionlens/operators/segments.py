@@ -294,7 +294,7 @@ def segment_users(
     profile = segment_profile(user_features, assignments, features, id_col)
     vec.unpersist()
     return SegmentationResult(
-        assignments=assignments.orderBy(id_col),
+        assignments=assignments,  # one row per user: sort only where a small extract is written
         profile=profile,
         model_info=model_info,
         feature_columns=features,

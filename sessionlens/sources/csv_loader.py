@@ -39,10 +39,15 @@ class LoadedData:
     dedup: DedupReport | None = None
 
 
-def read_text_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """All-text CSV read with missing-value markers turned into nulls."""
+def read_text_csv(spark: SparkSession, path: str, name: str, multiline: bool = False) -> DataFrame:
+    """All-text CSV read with missing-value markers turned into nulls.
+
+    ``multiline=True`` accepts quoted fields with line breaks; Spark then reads
+    each file whole (no splitting), so it is off by default.
+    """
     try:
-        raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        raw = (spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", multiline)
+               .option("escape", '"').csv(path))
         raw.schema  # resolve now so a missing path fails here
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
