@@ -263,6 +263,8 @@ def queries() -> dict[str, Query]:
         "transition_counts": lambda s, d: paths.transition_counts(journeys_of(s, d)),
         "transition_counts_content": lambda s, d: paths.transition_counts(journeys_of(s, d, step_mode="content_type")),
         "transition_matrix": q_transition_matrix,
+        "transition_matrix_content": lambda s, d: paths.transition_matrix(
+            paths.transition_counts(journeys_of(s, d, step_mode="content_type"))),
         "top_paths": lambda s, d: paths.top_paths(journeys_of(s, d)),
         "funnel": lambda s, d: paths.funnel(journeys_of(s, d)),
         "segment_path_lift": q_lift,

@@ -415,6 +415,9 @@ def oracle_sql() -> dict[str, str]:
     wide = ", ".join(f"COALESCE(max(CASE WHEN \"to\" = '{t}' THEN p END), 0.0) AS {t}" for t in targets)
     q["transition_matrix"] = build(f'SELECT "from", {wide} FROM j_transitions GROUP BY "from"', "j_transitions",
                                    doubles=tuple(targets))
+    wide_c = ", ".join(f"COALESCE(max(CASE WHEN \"to\" = '{t}' THEN p END), 0.0) AS \"{t}\"" for t in VOCAB)
+    q["transition_matrix_content"] = build(f'SELECT "from", {wide_c} FROM jc_transitions GROUP BY "from"',
+                                           "jc_transitions", doubles=tuple(f'"{t}"' for t in VOCAB))
     q["top_paths"] = build("""SELECT path, count(*) AS n_sessions, avg(CAST(has_purchase AS DOUBLE)) AS purchase_rate,
   avg(CAST(has_add_to_cart AS DOUBLE)) AS add_to_cart_rate, avg(n_steps) AS avg_steps
 FROM j_journeys GROUP BY path ORDER BY n_sessions DESC, path LIMIT 50""", "j_journeys",

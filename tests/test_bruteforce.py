@@ -58,6 +58,11 @@ def test_journeys_match_brute_force(spark, seed, max_steps, drop, hot):
            for r in paths.build_session_journeys(df, cfg).collect()}
     want = _brute_journeys(rows, max_steps, 2, drop)
     assert got == want
+    from sessionlens.operators import sessions as sessions_op
+
+    via_sessions = {(r["user_id"], r["ga_session_id"]): r["path"]
+                    for r in paths.build_session_journeys(df, cfg, sessions_op.session_rollup(df)).collect()}
+    assert via_sessions == {k: v[0] for k, v in want.items()}
     pairs = Counter()
     for path, *_ in want.values():
         st = path.split(" > ")
