@@ -1,8 +1,9 @@
 """Writers for pipeline artifacts.
 
-Large tables go to Parquet (parallel writers).  Small report tables (one row
-per segment, per metric, or a 50-row sample) go to a single CSV file each;
-only those are coalesced to one partition.
+Large tables go to Parquet (parallel writers); the per-user and per-session
+exports also go to CSV part files written in parallel.  Small report tables
+(one row per segment, per metric, or a 50-row sample) go to a single CSV file
+each; only those are coalesced to one partition.
 """
 
 from __future__ import annotations
@@ -21,5 +22,11 @@ def write_small_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_csv(df: DataFrame, path: str) -> str:
+    """A large table as headed CSV part files written in parallel (no coalesce)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
 def read_parquet(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
