@@ -196,3 +196,18 @@ def test_null_step_raises(spark):
 def test_bad_step_mode():
     with pytest.raises(ValueError):
         paths.JourneyConfig(step_mode="nope")
+
+
+def test_dq_negative_duration_metric_only_when_column_present(spark):
+    from sessionlens.operators import quality
+
+    ev = _events(spark, [(0, 1, 1, 1, T0, "view", "d", "US"), (1, 1, 1, 2, T0, "view", "d", "US")])
+    it = spark.createDataFrame([(1,)], "id long")
+    us = spark.createDataFrame([(1,)], "id long")
+    plain = {r["metric"] for r in quality.check_events(ev, it, us).summary.collect()}
+    assert "negative_session_duration" not in plain
+    with_dur = ev.withColumn("session_duration_sec", F.when(F.col("item_id") == 2, -1.0).otherwise(3.0))
+    summ = [(r["metric"], r["value"]) for r in quality.check_events(with_dur, it, us).summary.collect()]
+    assert summ[-1] == ("negative_session_duration", "1")
+    assert dict(summ)["events_with_unknown_item"] == "1"
+    assert [m for m, _ in summ][:4] == ["n_events", "duplicate_event_rows", "duplicate_events_by_key", "columns_with_nulls"]
