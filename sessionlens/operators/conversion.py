@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions import clip01, safe_div
-from sessionlens.schema import require_columns
+from sessionlens.schema import assert_unique, require_columns
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,8 @@ def segment_conversion(
         F.sum(F.col(has_atc_col).cast("int")).alias("_atc"),
         F.sum(F.col(has_purchase_col).cast("int")).alias("_pur"),
     )
-    asg = assignments.select(id_col, F.col(seg_col).cast("int").alias(seg_col)).where(F.col(seg_col).isNotNull())
+    asg = assert_unique(assignments.select(id_col, F.col(seg_col).cast("int").alias(seg_col)), [id_col],
+                        "assignments").where(F.col(seg_col).isNotNull())
     clustered = asg.where(F.col(seg_col) >= 0)
     seg_sessions = (
         per_user.join(clustered, id_col, "inner")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions import finite_or_zero
 from sessionlens.functions.quantiles import grouped_median
+from sessionlens.schema import assert_unique
 from sessionlens.session import ensure_checkpoint_dir
 
 # Base features used for segmentation when present (order kept).
@@ -237,7 +238,8 @@ def segment_profile(user_features: DataFrame, assignments: DataFrame, features:
     ``percentile_approx`` (a data value within 1/10000 of the middle rank).
     """
     cols = profile_columns(features)
-    asg = assignments.select(id_col, F.col(label_col).cast("int").alias(label_col))
+    asg = assert_unique(assignments.select(id_col, F.col(label_col).cast("int").alias(label_col)), [id_col],
+                        "assignments")
     j = user_features.join(asg, id_col, "inner").where(F.col(label_col) >= 0)
     extra = [F.count(F.lit(1)).alias("n_users")] + [F.avg(c).alias(f"{c}_mean") for c in cols]
     if median == "approx":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.functions import coerce_timestamp, period_start
-from sessionlens.schema import require_columns
+from sessionlens.schema import assert_unique, require_columns
 
 PSI_EPS = 1e-8
 
@@ -27,9 +27,8 @@ def segment_shares(events: DataFrame, assignments: DataFrame, period: str = "M")
     require_columns(assignments, {"user_id", "segment_id"}, "assignments")
     ev = events.select("user_id", coerce_timestamp(events, "date").alias("date")).where(F.col("date").isNotNull())
     active = ev.select(period_start(F.col("date"), period).alias("period"), "user_id").distinct()
-    asg = assignments.select("user_id", F.col("segment_id").cast("int").alias("segment_id")).where(
-        F.col("segment_id").isNotNull()
-    )
+    asg = assert_unique(assignments.select("user_id", F.col("segment_id").cast("int").alias("segment_id")),
+                        ["user_id"], "assignments").where(F.col("segment_id").isNotNull())
     counts = active.join(asg, "user_id", "inner").groupBy("period", "segment_id").agg(
         F.count(F.lit(1)).alias("n_users_active")
     )

@@ -211,3 +211,14 @@ def test_dq_negative_duration_metric_only_when_column_present(spark):
     assert summ[-1] == ("negative_session_duration", "1")
     assert dict(summ)["events_with_unknown_item"] == "1"
     assert [m for m, _ in summ][:4] == ["n_events", "duplicate_event_rows", "duplicate_events_by_key", "columns_with_nulls"]
+
+
+def test_repeated_assignment_fails_instead_of_fanning_out(spark):
+    ev = _events(spark, [(0, 1, 1, 1, T0, "purchase", "d", "US")])
+    a = spark.createDataFrame([(1, 0), (1, 1)], "user_id long, segment_id int")
+    with pytest.raises(Exception, match="not unique"):
+        conversion.segment_conversion(sessions.session_rollup(ev), a).collect()
+    from sessionlens.operators import stability
+
+    with pytest.raises(Exception, match="not unique"):
+        stability.segment_shares(ev, a, "M").collect()
