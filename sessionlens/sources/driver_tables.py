@@ -40,10 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed raw events (before cleaning), with injected key duplicates."""
+    """Typed raw events (before cleaning), with injected key duplicates.
+
+    Every tenth event appears twice (the copy gets a later source order), made
+    in the same scan by exploding a one- or two-element copy list.
+    """
     ev = table(spark, sf_dir, "events")
-    base = ev.select(
-        F.col("event_id").alias("src_order"),
+    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    ev = ev.select("*", F.explode(copies).alias("_copy"))
+    return ev.select(
+        (F.col("event_id") + F.col("_copy") * F.lit(DUPLICATE_OFFSET)).alias("src_order"),
         F.col("user_id"),
         F.expr("datediff(to_date(ts), date'2024-01-01') div 3").cast("bigint").alias("ga_session_id"),
         F.get_json_object("props", "$.k").cast("bigint").alias("item_id"),
@@ -59,10 +65,6 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_id") % 7 != 0, "CA")
         .alias("country"),
     )
-    repeats = base.where(F.col("src_order") % 10 == 0).withColumn(
-        "src_order", F.col("src_order") + F.lit(DUPLICATE_OFFSET)
-    )
-    return base.unionByName(repeats)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
