@@ -295,6 +295,7 @@ def segment_users(
         assignments = renumber(assignments)
     profile = segment_profile(user_features, assignments, features, id_col)
     vec.unpersist()
+    scaled.unpersist()  # later reads of the labels use the checkpoint files
     return SegmentationResult(
         assignments=assignments,  # one row per user: sort only where a small extract is written
         profile=profile,
