@@ -34,7 +34,7 @@ def grouped_median(
     suffix: str = "_median",
     accuracy: int = 10000,
     margin: int = 20,
-    broadcast_stats: bool = True,
+    broadcast_stats: bool = False,
     extra_aggs: list[Column] | None = None,
 ) -> DataFrame:
     """One row per group with ``<col><suffix>`` (and any ``extra_aggs``).

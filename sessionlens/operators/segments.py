@@ -247,7 +247,8 @@ def segment_profile(user_features: DataFrame, assignments: DataFrame, features:
                                                  .alias(f"{c}_median") for c in cols])
     elif median == "exact":
         # means and n_users ride along in the median's first grouped pass
-        out = grouped_median(j, [label_col], cols, suffix="_median", extra_aggs=extra)
+        # one bracket row per segment (at most k rows): bounded, so it is broadcast
+        out = grouped_median(j, [label_col], cols, suffix="_median", extra_aggs=extra, broadcast_stats=True)
     else:
         raise ValueError("median must be 'exact' or 'approx'")
     ordered = ["n_users"]
