@@ -74,8 +74,17 @@ def m_assignments(spark, sf):
     return dt.deterministic_assignments(cleaning.clean_events(dt.monthly_events(spark, sf)))
 
 
+def session_sizes(raw):
+    """Per-session size and time span of the raw events: an upper bound on the
+    cleaned sizes, which is all the hot-session split needs (scan + partial
+    aggregate, no de-duplication)."""
+    return raw.groupBy("user_id", "ga_session_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("date").alias("session_start"), F.max("date").alias("session_end"))
+
+
 def journeys_of(spark, sf, **cfg):
-    return paths.build_session_journeys(events_labeled(spark, sf), paths.JourneyConfig(**cfg))
+    return paths.build_session_journeys(events_labeled(spark, sf), paths.JourneyConfig(**cfg),
+                                        session_sizes(dt.raw_events(spark, sf)))
 
 
 def _jout(j):
@@ -188,7 +197,8 @@ def q_m_user_features(spark, sf):
 
 
 def q_m_journeys(spark, sf):
-    return paths.build_session_journeys(m_events_labeled(spark, sf))
+    return paths.build_session_journeys(m_events_labeled(spark, sf), paths.JourneyConfig(),
+                                        session_sizes(dt.monthly_events(spark, sf)))
 
 
 # ------------------------------------------------------------------ modelling (rows-only checks)
