@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from sessionlens.operators import paths, stability
@@ -52,7 +53,7 @@ def _brute_journeys(rows, max_steps, min_events, drop_repeats):
 def test_journeys_match_brute_force(spark, seed, max_steps, drop, hot):
     rows = _random_events(seed)
     df = spark.createDataFrame(rows, EV)
-    cfg = paths.JourneyConfig(max_steps=max_steps, drop_repeats=drop, hot_session_rows=hot)
+    cfg = paths.JourneyConfig(max_steps=max_steps, drop_repeats=drop, hot_session_rows=hot, hot_chunks=97)
     got = {(r["user_id"], r["ga_session_id"]): (r["path"], r["n_steps"], r["n_events"], r["has_add_to_cart"],
                                                  r["has_purchase"])
            for r in paths.build_session_journeys(df, cfg).collect()}
@@ -116,3 +117,21 @@ def test_drift_matches_brute_force(spark):
         psi = sum((x - y) * math.log((x + 1e-8) / (y + 1e-8)) for x, y in zip(a, b))
         assert got[cur][0] == prev
         assert got[cur][1] == pytest.approx(l1) and got[cur][2] == pytest.approx(psi)
+
+
+def test_hot_session_with_one_timestamp_is_split_and_exact(spark):
+    """A single session holding most rows, all at one instant, still gives the exact path."""
+    rng = np.random.default_rng(11)
+    t = datetime(2024, 1, 1)
+    rows = [(i, 1, 1, int(rng.integers(0, 3)), t, TYPES[int(rng.integers(0, 3))], "d", "US") for i in range(3000)]
+    rows += [(10_000 + i, 2, 2, 1, t + timedelta(seconds=i), "view" if i % 2 else "purchase", "d", "US") for i in range(5)]
+    df = spark.createDataFrame(rows, EV)
+    cfg = paths.JourneyConfig(max_steps=40, hot_session_rows=100, hot_chunks=16)
+    j = paths.build_session_journeys(df, cfg)
+    got = {(r["user_id"], r["ga_session_id"]): (r["path"], r["n_steps"], r["n_events"], r["has_add_to_cart"],
+                                                 r["has_purchase"]) for r in j.collect()}
+    assert got == _brute_journeys(rows, 40, 2, True)
+    # the hot rows really are spread over several chunks
+    chunks = (df.where("user_id = 1").repartitionByRange(16, "user_id", "ga_session_id", "date", "item_id", "src_order")
+              .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert chunks > 1

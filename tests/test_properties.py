@@ -60,8 +60,8 @@ def test_golden_counts_sf0001(lab, spark):
 def test_journey_chunking_does_not_change_results(lab, hot):
     """Forcing (almost) every session to be 'hot' splits it into time chunks; results stay the same."""
     base = _rows(paths.build_session_journeys(lab))
-    got = _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot)))
+    got = _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot, hot_chunks=64)))
     assert got == base
     cfg = dict(max_steps=3, drop_repeats=False)
-    assert _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot, **cfg))) == _rows(
+    assert _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot, hot_chunks=5, **cfg))) == _rows(
         paths.build_session_journeys(lab, paths.JourneyConfig(**cfg)))
