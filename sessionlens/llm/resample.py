@@ -42,9 +42,9 @@ from sessionlens.llm.common import Remembered, each, id_and_text, kept_by_worker
 class ResampleSettings:
     buckets: int = 1 << 16
     smoothing: float = 1.0
-    keep: float = 0.5
+    keep: float = 0.85
     per_word: bool = True
-    sharpness: float = 20.0
+    sharpness: float = 50.0
     max_labels: int = 20_000
     seed: int = 42
 
