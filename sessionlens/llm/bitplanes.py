@@ -26,10 +26,11 @@ only.  An empty table gives an empty file set.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +45,21 @@ from sessionlens.llm.common import kept_by_worker, map_texts, shared_path, slice
 MAGIC = b"BPL1"
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Distinct words whose ids a Python worker remembers per generation (there are two).
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+#: New words that the library is asked for at a time.
+ASKED_WORDS = 256
 
 
 # --- planes -----------------------------------------------------------------
 
 
 def pack(ids: np.ndarray, kind: str = "bytes", level: int = 3) -> bytes:
-    """A block of unsigned 32-bit ids as bytes."""
-    n = len(ids)
+    """A block of unsigned 16- or 32-bit ids as bytes."""
+    n, width = len(ids), ids.dtype.itemsize
     if kind == "bytes":
-        planes = [p.tobytes() for p in np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(n, 4).T)]
+        planes = [p.tobytes() for p in ids.view(np.uint8).reshape(n, width).T]
     else:
-        planes = [np.packbits((ids >> np.uint32(b)).astype(np.uint8) & 1).tobytes() for b in range(32)]
+        planes = [np.packbits((ids >> b & 1).astype(np.uint8)).tobytes() for b in range(8 * width)]
     while planes and not any(planes[-1]):
         planes.pop()
     small = zstandard.ZstdCompressor(level=level)
@@ -86,57 +89,97 @@ def unpack(block: bytes) -> np.ndarray:
 
 # --- encoding ---------------------------------------------------------------
 
-class WordEncoder:
-    """Encodes texts by a tokenizer of the tokenizers library whose pre-tokens never hold a blank.
+#: A text without these characters may be lower-cased before its words are looked up: below U+0250 (but for
+#: the dotted capital I) and among general punctuation, lower case maps one to one and nothing composes.
+UNUSUAL = re.compile("[^\\x00-\u012f\u0131-\u024f\u2010-\u2027]")
+
 
-    A text is cut at blanks and line feeds; the ids of each distinct piece come
-    from the library once and are kept.  Of a piece that is a word of letters
-    with one full stop or comma behind it, and of capitals in ASCII pieces, only
-    the bare lower-case word is asked for, as the tokenizer lower-cases and
-    splits letters from punctuation itself.
+class WordEncoder:
+    """Encodes texts by a tokenizer of the tokenizers library that lower-cases and never joins across a blank.
+
+    A text is lower-cased where that cannot change the result, cut at blanks and
+    line feeds, and the ids of each distinct piece come from the library once and
+    are kept.  New words of letters are asked for in one text and told apart by
+    the tokens that end a word; of a word with one full stop or comma behind it
+    only the word is asked for, as the tokenizer splits the two itself.  Lower-cased
+    words skip the tokenizer's normalizer and splitting pattern (``lean``), which
+    leave them as they are.
     """
 
     def __init__(self, data: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_buffer(data)
-        self.known: dict[str, bytes] = {}  # a plain dictionary, which set.difference() probes
+        self.tokenizer = self.lean = Tokenizer.from_buffer(data)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values(), default=0) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        config = json.loads(data)
+        suffix = config["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(size, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        kinds = lambda part, key: [x["type"] for x in (config.get(part) or {}).get(key, [])]
+        self.folds = "Lowercase" in kinds("normalizer", "normalizers")
+        self.marked = [t["content"] for t in config.get("added_tokens", [])]
+        if {"NFC", "Replace", "Lowercase"} >= set(kinds("normalizer", "normalizers")) and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]:
+            steps = [{"type": "WhitespaceSplit"}, config["pre_tokenizer"]["pretokenizers"][1]]
+            config |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
+            self.lean = Tokenizer.from_str(json.dumps(config))
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    @staticmethod
-    def bare(piece: str) -> tuple[str, str]:
-        """(word to ask for, punctuation behind it)."""
-        word, tail = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") and piece[:-1].isalpha() else (piece, "")
-        return (word.lower() if word.isascii() and word.isalpha() else word), tail
+        self.stops = dict(zip(".,", self.ask([".", ","]), strict=True))
 
     def ask(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, from the library."""
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def learn(self, pieces: set[str]) -> None:
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def ask_words(self, words: list[str], folded: bool) -> list[bytes]:
+        """Ids of each word of letters."""
+        tokenizer = self.lean if folded else self.tokenizer
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+        if len(ends) != len(words):
+            return self.ask(words)
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, pieces: set[str], folded: bool) -> None:
         """Put the ids of the pieces into ``known``."""
-        known, old = self.known, self.old
-        new = {p: self.bare(p) for p in pieces if p not in old}
-        asked = [w for w in {x for pair in new.values() for x in pair} if w not in known and w not in old]
-        known.update(zip(asked, self.ask(asked), strict=True))
-        for p in pieces:
-            if p not in new:
-                known[p] = old[p]
-            else:
-                word, tail = new[p]
-                known[p] = (known.get(word) or old.get(word, b"")) + (known.get(tail) or old.get(tail, b""))
+        known, old, stops = self.known, self.old, self.stops
+        back = [p for p in pieces if p in old]
+        known.update(zip(back, map(old.__getitem__, back), strict=True))
+        pieces.difference_update(back)
+        words = [p for p in pieces if p.isalpha()]
+        pieces.difference_update(words)
+        stopped = [p for p in pieces if p[-1:] in stops and p[:-1].isalpha()]
+        pieces.difference_update(stopped)
+        words += [w for w in {p[:-1] for p in stopped}.difference(words) if w not in known and w not in old]
+        for k in range(0, len(words), ASKED_WORDS):
+            some = words[k : k + ASKED_WORDS]
+            known.update(zip(some, self.ask_words(some, folded), strict=True))
+        for p in stopped:
+            known[p] = (known.get(p[:-1]) or old[p[:-1]]) + stops[p[-1]]
+        if pieces:
+            others = list(pieces)
+            known.update(zip(others, self.ask(others), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
+        """Ids of each text as little-endian integers of ``dtype``."""
+        cut, folded_words, other_words = [], set(), set()
         for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            if missing := set(words).difference(self.known):
-                self.learn(missing)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-            if len(self.known) >= CACHED_WORDS:
-                self.known, self.old = {}, self.known
+            text = text or ""
+            lower = text.lower()
+            folded = self.folds and (text.isascii() or not UNUSUAL.search(text)) and not any(m in lower for m in self.marked)
+            words = (lower if folded else text).replace("\n", " ").split(" ")
+            cut.append(words)
+            (folded_words if folded else other_words).update(words)
+        for words, folded in ((folded_words, True), (other_words, False)):
+            if missing := words.difference(self.known):
+                self.learn(missing, folded)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        if len(self.known) >= CACHED_WORDS:
+            self.known, self.old = {}, self.known
         return out
 
 
@@ -153,23 +196,16 @@ def encode_words(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "
 
     Ids take two bytes each where the vocabulary allows it, else four.
     """
-    from tokenizers import Tokenizer
-
-    narrow = max(Tokenizer.from_buffer(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
-
     key = "words " + hashlib.sha256(tokenizer).hexdigest()
 
     def make():
         encoder = kept_by_worker(key, lambda: WordEncoder(sent.value))
-        end = struct.pack("<I", end_id)
+        width = encoder.dtype.itemsize
+        end = end_id.to_bytes(width, "little")
 
         def work(texts):
-            out = []
-            for data in encoder.encode(texts):
-                ids = np.frombuffer(data + end, "<u4")
-                out.append((len(ids), ids.astype("<u2").tobytes() if narrow else ids.tobytes()))
-            return out
+            return [(len(ids) // width + 1, ids + end) for ids in encoder.encode(texts)]
 
         return work
 
@@ -214,7 +250,7 @@ def write_tokens(encoded: DataFrame, path: str, block_ids: int = 1 << 16, shard_
         for part in slices(batches):
             arrow_id = part.column(0).type
             for doc_id, n, data in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
+                ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
                 own = (doc_id, first + held, n)
                 docs.append(own)
                 while held + len(ids) >= block_ids:
@@ -251,18 +287,23 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for part in slices(batches, 8):
-            rows = part.to_pylist()
-            out: list[tuple] = []
-            for r in rows:
-                ids = unpack(r["payload"]).astype("<u4")
-                for doc_id, start, size in zip(r["doc_ids"], r["starts"], r["sizes"], strict=True):
-                    a, b = max(start - r["first"], 0), min(start + size - r["first"], len(ids))
-                    out.append((doc_id, r["shard"], start, size, r["block"], b - a, zlib.crc32(ids[a:b].tobytes())))
-            id_arrow = part.schema.field("doc_ids").type.value_type
-            types = [id_arrow, *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
-
-    parts = blocks.select("doc_ids", "starts", "sizes", "shard", "block", "first", "payload").mapInArrow(run, schema)
+            doc_ids, starts, sizes, shards, numbers, firsts, payloads = (part.column(k) for k in range(7))
+            rows = np.diff(starts.offsets.to_numpy())
+            first = np.repeat(firsts.to_numpy(), rows)
+            start, size = starts.flatten().to_numpy(), sizes.flatten().to_numpy()
+            low = np.maximum(start - first, 0)
+            high = np.minimum(start + size - first, np.repeat(part.column("n_ids").to_numpy(), rows))
+            crcs, at = [], 0
+            for n, payload in zip(rows.tolist(), payloads, strict=True):
+                data = memoryview(unpack(payload.as_py()).astype("<u4")).cast("B")
+                crcs += [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(low[at : at + n].tolist(), high[at : at + n].tolist(), strict=True)]
+                at += n
+            shard, block = (np.repeat(c.to_numpy(), rows) for c in (shards, numbers))
+            columns = [doc_ids.flatten(), shard, start, size, block, high - low, crcs]
+            types = [doc_ids.type.value_type, *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if k else c for k, (c, t) in enumerate(zip(columns, types, strict=True))], names=schema.names)
+
+    parts = blocks.select("doc_ids", "starts", "sizes", "shard", "block", "first", "payload", "n_ids").mapInArrow(run, schema)
     whole = parts.groupBy("shard", "local").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_tokens").alias("n_tokens"),
@@ -275,9 +316,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def combined(batches):
-        for part in slices(batches, 4096):
-            crcs = [combine([(p["n_part"] * 4, p["crc"]) for p in parts]) for parts in part.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(3)], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for part in batches:
+            parts = part.column(3)
+            edges, own = parts.offsets.to_numpy(), parts.flatten()
+            edges = edges - edges[0]
+            sizes, crcs = own.field("n_part").to_numpy() * 4, own.field("crc").to_numpy()
+            whole = crcs[edges[:-1]]  # right where a document lies in one block
+            for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+                at = slice(edges[k], edges[k + 1])
+                whole[k] = combine(list(zip(sizes[at].tolist(), crcs[at].tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(3)], pa.array(whole)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = whole.join(before, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "parts")
     fields = [placed.schema["doc_id"], *[StructField(n, LongType()) for n in ("start", "n_tokens", "ids_crc32")]]
