@@ -45,7 +45,7 @@ from sessionlens.llm.common import kept_by_worker, map_texts, shared_path, slice
 MAGIC = b"BPL1"
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Distinct words whose ids a Python worker remembers per generation (there are two).
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: New words that the library is asked for at a time.
 ASKED_WORDS = 256
 
