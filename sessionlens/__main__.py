@@ -12,6 +12,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from sessionlens.operators.paths import STEP_MODES, JourneyConfig
 from sessionlens.plans.pipeline import PipelineConfig, run_on_driver_tables, run_pipeline
 from sessionlens.sources.csv_loader import load_all
 from sessionlens.sources.driver_tables import PART_CATEGORY_MAP
@@ -29,15 +30,27 @@ def main(argv=None) -> None:
     ap.add_argument("--journeys", action="store_true")
     ap.add_argument("--stability", action="store_true")
     ap.add_argument("--period", default="M", choices=["M", "W", "D"])
+    ap.add_argument("--date-format", help="Spark pattern of the date columns (default: the spelling of the first date)")
+    ap.add_argument("--multiline", action="store_true", help="CSV cells may hold line breaks")
+    ap.add_argument("--min-sessions", type=int, default=1)
+    ap.add_argument("--outlier-threshold", type=float, default=0.0)
+    ap.add_argument("--step-mode", default="event_type", choices=STEP_MODES)
+    ap.add_argument("--max-steps", type=int, default=30)
+    ap.add_argument("--bootstrap-runs", type=int, default=20)
+    ap.add_argument("--bootstrap-frac", type=float, default=0.8)
+    ap.add_argument("--sample-rows", type=int, default=50, help="rows of the sample tables")
     a = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("sessionlens").getOrCreate()
+    spark = SparkSession.builder.appName("sessionlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     cfg = PipelineConfig(k_range=range(a.k_min, a.k_max + 1), n_init=a.n_init, with_journeys=a.journeys,
-                         with_stability=a.stability, period=a.period)
+                         with_stability=a.stability, period=a.period, min_sessions=a.min_sessions,
+                         outlier_threshold=a.outlier_threshold, bootstrap_runs=a.bootstrap_runs,
+                         bootstrap_frac=a.bootstrap_frac, sample_rows=a.sample_rows,
+                         journey=JourneyConfig(step_mode=a.step_mode, max_steps=a.max_steps))
     if a.tables:
         cfg.category_map = PART_CATEGORY_MAP
         art = run_on_driver_tables(spark, a.tables, a.out, cfg)
     else:
-        art = run_pipeline(spark, load_all(spark, a.raw_dir), a.out, cfg)
+        art = run_pipeline(spark, load_all(spark, a.raw_dir, date_format=a.date_format, multiline=a.multiline), a.out, cfg)
     print(f"chosen_k={art.segmentation.chosen_k} artifacts={art.out_dir}")
 
 

@@ -7,9 +7,10 @@ from sessionlens.functions.cleaning import (
     strict_long,
     strict_timestamp,
     coerce_timestamp,
+    date_format_of,
     strip_ws,
 )
-from sessionlens.functions.numeric import clip01, finite_or_zero, nan_to_null, round_doubles, safe_div
+from sessionlens.functions.numeric import clip01, finite_or_zero, nan_to_null, safe_div
 from sessionlens.functions.timefn import duration_seconds, period_start, timestamp_text
 
 __all__ = [
@@ -20,11 +21,11 @@ __all__ = [
     "coerce_double",
     "strict_timestamp",
     "coerce_timestamp",
+    "date_format_of",
     "safe_div",
     "clip01",
     "finite_or_zero",
     "nan_to_null",
-    "round_doubles",
     "duration_seconds",
     "period_start",
     "timestamp_text",

@@ -18,10 +18,13 @@ from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sessionlens.schema import assert_unique
 from sessionlens.operators.segments import fit_best_kmeans, reliable, standardize, vectors
 from sessionlens.operators.stability import adjusted_rand_index
 
 _MANTISSA = (1 << 53) - 1
+#: Largest draw count of a user that the inverse CDF covers; a share that needs more is refused.
+MAX_DRAWS = 200
 
 
 def hash_uniform(*cols: Column) -> Column:
@@ -35,8 +38,10 @@ def poisson_thresholds(lam: float, tail: float = 1e-15) -> list[float]:
     while True:
         cdf += p
         out.append(cdf)
-        if 1.0 - cdf < tail or k > 200:
+        if 1.0 - cdf < tail:
             return out
+        if k > MAX_DRAWS:
+            raise ValueError(f"a sample share of {lam} needs more than {MAX_DRAWS} draw counts per user")
         k += 1
         p *= lam / k
 
@@ -69,9 +74,8 @@ def bootstrap_stability(
     whole population; every run refits k-means with seed ``seed + run``.
     """
     spark = user_features.sparkSession
-    base = user_features.join(
-        assignments.select(id_col, F.col("segment_id").cast("int").alias("segment_id")), id_col, "inner"
-    ).where(F.col("segment_id").isNotNull())
+    labels = assignments.select(id_col, F.col("segment_id").cast("int").alias("segment_id"))
+    base = user_features.join(assert_unique(labels, [id_col], "assignments"), id_col, "inner").where(F.col("segment_id").isNotNull())
     scaled = reliable(standardize(base, features, keep=[id_col, "segment_id"]))
     vec = vectors(scaled, features, [id_col, "segment_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     def one_run(run: int):

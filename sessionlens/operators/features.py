@@ -96,7 +96,3 @@ def build_user_features(
     uf = s.join(e, "user_id", "inner")
     uf = uf.join(u, uf["user_id"] == u["_uid"], "left").drop("_uid")
     return UserFeatures(user_features=uf.na.fill(0))
-
-
-def share_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith(SHARE_PREFIX)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sessionlens.functions import nan_to_null, strip_ws
+from sessionlens.schema import assert_unique
 
 # Default category key (trimmed, lower-cased) -> content type.
 DEFAULT_CATEGORY_MAP = {
@@ -89,13 +90,7 @@ def add_labels(
     """
     it = label_items(items, category_map)
     if validate:
-        # many-to-one contract checked inside the same plan (no extra job)
-        n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-        it = it.withColumn("_n_id", n).where(
-            F.when(F.col("_n_id") > 1, F.raise_error(F.concat(F.lit("items: key ['id'] is not unique, e.g. id="),
-                                                              F.col("id").cast("string"))))
-            .otherwise(F.lit(True))
-        ).drop("_n_id")
+        it = assert_unique(it, ["id"], "items")
     dim = it.select(
         F.col("id").alias("_item_id"), "content_type", "price_in_usd", "price_bucket", "brand", "variant", "category"
     )

@@ -39,8 +39,8 @@ def null_counts(events: DataFrame) -> DataFrame:
     return long.where(F.col("null_count") > 0).orderBy(F.col("null_count").desc(), F.col("column").asc())
 
 
-def duplicate_counts(events: DataFrame) -> DataFrame:
-    """One row: full-row duplicates and key duplicates (rows beyond the first).
+def duplicate_counts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two one-row tables: full-row duplicates and key duplicates (rows beyond the first).
 
     Full rows are grouped once (partial aggregation collapses copies before
     the shuffle); the key groups are a roll-up of those groups.
@@ -59,14 +59,16 @@ def unknown_rows(events: DataFrame, dim: DataFrame, key: str, dim_key: str = "id
     return events.join(d, events[key] == d["_k"], "left_anti")
 
 
-def _first_rows(df: DataFrame) -> DataFrame:
+def _first_rows(df: DataFrame, n: int | None) -> DataFrame:
     order = [F.col(c) for c in ("user_id", "ga_session_id", "date", "item_id") if c in df.columns]
     if SRC_ORDER in df.columns:
         order.append(F.col(SRC_ORDER))
-    return df.orderBy(*order).limit(SAMPLE_ROWS)
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
-def check_events(events: DataFrame, items: DataFrame, users: DataFrame) -> DataQualityReport:
+def check_events(events: DataFrame, items: DataFrame, users: DataFrame,
+                 sample_rows: int | None = SAMPLE_ROWS) -> DataQualityReport:
+    """``sample_rows``: rows of the unknown-reference details, None for all of them (unordered)."""
     cols = _data_columns(events)
     nulls = null_counts(events)
     dup_rows, dup_key = duplicate_counts(events)
@@ -106,7 +108,7 @@ def check_events(events: DataFrame, items: DataFrame, users: DataFrame) -> DataQ
     )
     details = {
         "event_nulls": nulls,
-        "missing_items": _first_rows(missing_items),
-        "missing_users": _first_rows(missing_users),
+        "missing_items": _first_rows(missing_items, sample_rows),
+        "missing_users": _first_rows(missing_users, sample_rows),
     }
     return DataQualityReport(summary=summary.orderBy("ord"), details=details)

@@ -18,6 +18,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sessionlens.operators.features import SHARE_PREFIX
 from sessionlens.functions import finite_or_zero
 from sessionlens.functions.quantiles import grouped_median
 from sessionlens.schema import assert_unique
@@ -33,7 +34,6 @@ PROFILE_CORE = [
     "n_sessions", "n_events", "purchase_rate_sessions", "add_to_cart_rate_sessions",
     "mean_session_duration", "active_days", "content_entropy",
 ]
-SHARE_PREFIX = "share_content_"
 
 
 @dataclass(frozen=True)

@@ -68,13 +68,19 @@ FROM events""")
 cte("raw_events", ["raw_e"], """SELECT * FROM raw_e
 UNION ALL
 SELECT src_order + 1000000000 AS src_order, user_id, ga_session_id, item_id, date, type, device, country
-FROM raw_e WHERE src_order % 10 = 0""")
+FROM raw_e WHERE src_order % 10 = 0
+UNION ALL
+SELECT src_order + 2000000000 AS src_order, user_id, ga_session_id, item_id + 1000000000 AS item_id, date, type, device, country
+FROM raw_e WHERE src_order % 50 = 7
+UNION ALL
+SELECT src_order + 3000000000 AS src_order, user_id + 1000000000 AS user_id, ga_session_id, item_id, date, type, device, country
+FROM raw_e WHERE src_order % 70 = 11""")
 cte("events_clean", ["raw_events"], _dedup("raw_events"))
-cte("items_a", [], """SELECT p_partkey AS id, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS variant,
+cte("items_a", [], """SELECT p_partkey AS id, CASE WHEN c = 1 THEN p_name || ' (again)' ELSE p_name END AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS variant,
   CASE WHEN p_partkey % 29 <> 7 THEN p_type END AS category,
-  CASE WHEN p_partkey % 19 <> 4 THEN CAST((p_partkey * 7) % 131 AS DOUBLE) END AS price_in_usd,
-  p_partkey AS src_order
-FROM part WHERE p_partkey % 17 <> 3""")
+  CASE WHEN p_partkey % 19 <> 4 THEN CAST((p_partkey * 7) % 131 AS DOUBLE) + c END AS price_in_usd,
+  p_partkey + c * 1000000000 AS src_order
+FROM part, (VALUES (0), (1)) v(c) WHERE c = 0 OR p_partkey % 13 = 0""")
 cte("items_first", ["items_a"], """SELECT id, name, brand, variant, category, price_in_usd, src_order FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY src_order) AS rn FROM items_a) t WHERE rn = 1""")
 _ct_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(PART_CATEGORY_MAP.items()))
@@ -86,8 +92,10 @@ cte("items_lab", ["items_first"], f"""SELECT *, lower(trim(category)) AS categor
        WHEN price_in_usd > 50 AND price_in_usd <= 100 THEN '50-100'
        WHEN price_in_usd > 100 THEN '100+' END AS price_bucket
 FROM items_first""")
-cte("users_a", [], """SELECT c_custkey AS id, c_acctbal AS ltv, TIMESTAMP '2024-01-01 00:00:00' AS date, c_custkey AS src_order
-FROM customer WHERE c_custkey % 23 <> 5""")
+cte("users_a", [], """SELECT c_custkey AS id, c_acctbal + c AS ltv,
+  CASE c WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '2024-02-01 00:00:00' END AS date,
+  c_custkey + c * 1000000000 AS src_order
+FROM customer, (VALUES (0), (1), (2)) v(c) WHERE c = 0 OR (c = 1 AND c_custkey % 7 = 0) OR (c = 2 AND c_custkey % 11 = 0)""")
 cte("users_latest", ["users_a"], """SELECT id, ltv, date, src_order FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC NULLS FIRST, src_order DESC) AS rn FROM users_a) t
 WHERE rn = 1""")
@@ -118,7 +126,7 @@ cte("sessions", ["events_labeled"], _sessions("events_labeled"))
 cte("assignments", ["events_clean"], """SELECT DISTINCT user_id, CAST(user_id % 5 - 1 AS INTEGER) AS segment_id FROM events_clean""")
 
 # monthly adapter: orders x lineitem
-cte("m_raw", [], """SELECT CAST(0 AS BIGINT) AS src_order, o_custkey AS user_id, o_orderkey AS ga_session_id,
+cte("m_raw", [], """SELECT CAST(l_linenumber AS BIGINT) AS src_order, o_custkey AS user_id, o_orderkey AS ga_session_id,
   l_partkey AS item_id, l_shipdate AS date,
   CASE WHEN l_returnflag = 'R' THEN 'add_to_cart' WHEN l_returnflag = 'A' THEN 'purchase' ELSE 'view' END AS type,
   CAST(NULL AS VARCHAR) AS device, CAST(NULL AS VARCHAR) AS country

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens.functions import (
     coerce_double,
+    date_format_of,
     null_if_na_text,
     strict_long,
     strict_timestamp,
@@ -69,7 +70,7 @@ def parse_events(raw: DataFrame, date_format: str | None = None) -> DataFrame:
     require_columns(raw, REQUIRED_EVENTS_COLS, "events")
     casts = {c: strict_long(F.col(c), c) for c in ("user_id", "ga_session_id", "item_id")}
     casts.update({c: strip_ws(F.col(c)) for c in ("country", "device", "type")})
-    casts["date"] = strict_timestamp(F.col("date"), "date", date_format)
+    casts["date"] = strict_timestamp(F.col("date"), "date", date_format or date_format_of(raw, "date"))
     return _typed(raw, casts)
 
 
@@ -85,23 +86,26 @@ def parse_users(raw: DataFrame, date_format: str | None = None) -> DataFrame:
     casts = {
         "id": strict_long(F.col("id"), "id"),
         "ltv": F.coalesce(coerce_double(F.col("ltv")), F.lit(0.0)),
-        "date": strict_timestamp(F.col("date"), "date", date_format),
+        "date": strict_timestamp(F.col("date"), "date", date_format or date_format_of(raw, "date")),
     }
     return _typed(raw, casts)
 
 
 def load_events(spark: SparkSession, path: str, date_format: str | None = None,
-                report: DedupReport | None = None) -> DataFrame:
-    """Parsed, cleaned, de-duplicated events; ``report`` receives the removed-row count."""
-    return clean_events(parse_events(read_text_csv(spark, path, "events"), date_format), report)
+                report: DedupReport | None = None, multiline: bool = False) -> DataFrame:
+    """Parsed, cleaned, de-duplicated events; ``report`` receives the removed-row count.
+
+    Without ``date_format`` the first date's spelling holds for the whole column.
+    """
+    return clean_events(parse_events(read_text_csv(spark, path, "events", multiline), date_format), report)
 
 
-def load_items(spark: SparkSession, path: str) -> DataFrame:
-    return first_per_id(parse_items(read_text_csv(spark, path, "items")))
+def load_items(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return first_per_id(parse_items(read_text_csv(spark, path, "items", multiline)))
 
 
-def load_users(spark: SparkSession, path: str, date_format: str | None = None) -> DataFrame:
-    return latest_per_id(parse_users(read_text_csv(spark, path, "users"), date_format))
+def load_users(spark: SparkSession, path: str, date_format: str | None = None, multiline: bool = False) -> DataFrame:
+    return latest_per_id(parse_users(read_text_csv(spark, path, "users", multiline), date_format))
 
 
 def load_all(
@@ -110,12 +114,14 @@ def load_all(
     events_file: str = "events1.csv",
     items_file: str = "items.csv",
     users_file: str = "users.csv",
+    date_format: str | None = None,
+    multiline: bool = False,
 ) -> LoadedData:
     base = raw_dir.rstrip("/")
     report = DedupReport()
     return LoadedData(
-        events=load_events(spark, f"{base}/{events_file}", report=report),
-        items=load_items(spark, f"{base}/{items_file}"),
-        users=load_users(spark, f"{base}/{users_file}"),
+        events=load_events(spark, f"{base}/{events_file}", date_format, report, multiline),
+        items=load_items(spark, f"{base}/{items_file}", multiline),
+        users=load_users(spark, f"{base}/{users_file}", date_format, multiline),
         dedup=report,
     )

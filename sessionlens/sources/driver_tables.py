@@ -5,11 +5,12 @@ gives them the shape of an e-commerce event log (see FIXTURES.md section 4):
 
 * ``events``: session = 3-day window since 2024-01-01, item = ``props.k``,
   click -> add_to_cart, signup -> begin_checkout, device and country derived
-  from the event id, and every tenth event repeated once (new source order),
-  so that de-duplication has work to do.
-* ``part`` -> items (a few items removed, so that some events point at unknown
-  items; some prices and categories blanked), ``customer`` -> users (a few
-  removed, for unknown users).
+  from the event id, and copies of some events (new source order): every tenth
+  repeated as it is (de-duplication), every fiftieth with an item and every
+  seventieth with a user above the largest key (unknown items and users).
+* ``part`` -> items (every thirteenth id repeated with another name; some prices
+  and categories blanked), ``customer`` -> users (some ids repeated with a later
+  or a missing date), so that the first-item and latest-user rules have work.
 * ``orders`` x ``lineitem`` -> a second, multi-year event log for monthly
   periods.
 * Deterministic segments ``user_id % 5 - 1`` (values -1..3) stand in for
@@ -39,20 +40,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _copies(when: dict) -> F.Column:
+    """Array of 0 and every copy number whose condition holds."""
+    return F.array_compact(F.array(*[F.when(cond, F.lit(n).cast("bigint")) for n, cond in {0: F.lit(True), **when}.items()]))
+
+
+def _beyond(copy: int) -> F.Column:
+    """Added to a key: above every key for that copy, else nothing."""
+    return F.when(F.col("_copy") == copy, F.lit(DUPLICATE_OFFSET)).otherwise(F.lit(0)).cast("bigint")
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed raw events (before cleaning), with injected key duplicates.
+    """Typed raw events (before cleaning), with injected key duplicates and unknown references.
 
-    Every tenth event appears twice (the copy gets a later source order), made
-    in the same scan by exploding a one- or two-element copy list.
+    All made in the same scan by exploding a list of copies: 0 the event, 1 a
+    duplicate, 2 with an unknown item, 3 with an unknown user.
     """
     ev = table(spark, sf_dir, "events")
-    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copies = _copies({1: F.col("event_id") % 10 == 0, 2: F.col("event_id") % 50 == 7, 3: F.col("event_id") % 70 == 11})
     ev = ev.select("*", F.explode(copies).alias("_copy"))
     return ev.select(
         (F.col("event_id") + F.col("_copy") * F.lit(DUPLICATE_OFFSET)).alias("src_order"),
-        F.col("user_id"),
+        (F.col("user_id") + _beyond(3)).alias("user_id"),
         F.expr("datediff(to_date(ts), date'2024-01-01') div 3").cast("bigint").alias("ga_session_id"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("item_id"),
+        (F.get_json_object("props", "$.k").cast("bigint") + _beyond(2)).alias("item_id"),
         F.col("ts").alias("date"),
         F.when(F.col("event_type") == "click", "add_to_cart")
         .when(F.col("event_type") == "signup", "begin_checkout")
@@ -69,24 +80,27 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.where(F.col("p_partkey") % 17 != 3).select(
+    p = p.select("*", F.explode(_copies({1: F.col("p_partkey") % 13 == 0})).alias("_copy"))
+    return p.select(
         F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("name"),
+        F.concat("p_name", F.when(F.col("_copy") == 1, " (again)").otherwise("")).alias("name"),
         F.col("p_brand").alias("brand"),
         F.col("p_size").cast("string").alias("variant"),
         F.when(F.col("p_partkey") % 29 != 7, F.col("p_type")).alias("category"),
-        F.when(F.col("p_partkey") % 19 != 4, ((F.col("p_partkey") * 7) % 131).cast("double")).alias("price_in_usd"),
-        F.col("p_partkey").alias("src_order"),
+        F.when(F.col("p_partkey") % 19 != 4, ((F.col("p_partkey") * 7) % 131).cast("double") + F.col("_copy")).alias("price_in_usd"),
+        (F.col("p_partkey") + F.col("_copy") * F.lit(DUPLICATE_OFFSET)).alias("src_order"),
     )
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.where(F.col("c_custkey") % 23 != 5).select(
+    c = c.select("*", F.explode(_copies({1: F.col("c_custkey") % 7 == 0, 2: F.col("c_custkey") % 11 == 0})).alias("_copy"))
+    date = F.when(F.col("_copy") == 0, "2024-01-01 00:00:00").when(F.col("_copy") == 1, "2024-02-01 00:00:00")
+    return c.select(
         F.col("c_custkey").alias("id"),
-        F.col("c_acctbal").alias("ltv"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("date"),
-        F.col("c_custkey").alias("src_order"),
+        (F.col("c_acctbal") + F.col("_copy")).alias("ltv"),
+        date.cast("timestamp_ntz").alias("date"),
+        (F.col("c_custkey") + F.col("_copy") * F.lit(DUPLICATE_OFFSET)).alias("src_order"),
     )
 
 
@@ -102,10 +116,10 @@ def deterministic_assignments(events: DataFrame) -> DataFrame:
 def monthly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders x lineitem as a typed event log spanning 1995-2001."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_returnflag")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_returnflag", "l_linenumber")
     j = o.join(li, o.o_orderkey == li.l_orderkey, "inner")
     return j.select(
-        F.lit(0).cast("bigint").alias("src_order"),
+        F.col("l_linenumber").cast("bigint").alias("src_order"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderkey").alias("ga_session_id"),
         F.col("l_partkey").alias("item_id"),

@@ -10,6 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from sessionlens.schema import SRC_ORDER
+
+
+def without_helpers(df: DataFrame) -> DataFrame:
+    """``df`` without the source order, which is a struct for CSV inputs and not data."""
+    return df.drop(SRC_ORDER)
+
 
 def write_parquet(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").parquet(path)
@@ -18,13 +25,13 @@ def write_parquet(df: DataFrame, path: str) -> str:
 
 def write_small_csv(df: DataFrame, path: str) -> str:
     """A report table with a bounded number of rows as one headed CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    without_helpers(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
 def write_csv(df: DataFrame, path: str) -> str:
     """A large table as headed CSV part files written in parallel (no coalesce)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    without_helpers(df).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

@@ -13,7 +13,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_registries_line_up():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
-    assert len(q) - len(sql) == 4  # k-means, k selection, bootstrap, full pipeline: rows-only
+    from sessionlens.plans import catalog, oracle
+
+    rows_only = set(catalog.queries()) - set(oracle.oracle_sql())
+    assert rows_only == {"kmeans_segments", "k_selection", "bootstrap_stability", "pipeline_run"}
     assert all(callable(f) for f in q.values())
 
 

@@ -83,7 +83,7 @@ def test_strict_ids_raise(spark, csv_dir):
 def test_missing_file_and_columns(spark, csv_dir):
     with pytest.raises(FileNotFoundError):
         csv_loader.load_events(spark, os.path.join(csv_dir, "nope.csv"))
-    with pytest.raises(ValueError, match=r"missing required columns: \['country', 'date'"):
+    with pytest.raises(ValueError, match=r"columns not found: \['country', 'date'"):
         csv_loader.load_events(spark, os.path.join(csv_dir, "missing_cols.csv"))
 
 
