@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from sessionlens.operators import cleaning, conversion, features, labels, paths, quality, segments, sessions, stability
-from sessionlens.sources import driver_tables as dt
+from sessionlens.sources import driver_tables as dt, text_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,8 @@ def sessions_of(spark, sf):
 
 
 def assignments_of(spark, sf):
-    return dt.deterministic_assignments(events_clean(spark, sf))
+    # every user with a complete event; de-duplication keeps one row of each key, so it loses no user
+    return dt.deterministic_assignments(cleaning.drop_incomplete_events(dt.raw_events(spark, sf)))
 
 
 def user_features_of(spark, sf):
@@ -71,7 +72,7 @@ def m_events_labeled(spark, sf):
 
 
 def m_assignments(spark, sf):
-    return dt.deterministic_assignments(cleaning.clean_events(dt.monthly_events(spark, sf)))
+    return dt.deterministic_assignments(cleaning.drop_incomplete_events(dt.monthly_events(spark, sf)))
 
 
 def session_sizes(raw):
@@ -83,8 +84,9 @@ def session_sizes(raw):
 
 
 def journeys_of(spark, sf, **cfg):
-    return paths.build_session_journeys(events_labeled(spark, sf), paths.JourneyConfig(**cfg),
-                                        session_sizes(dt.raw_events(spark, sf)))
+    cfg = paths.JourneyConfig(**cfg)
+    events = events_clean if cfg.step_mode == "event_type" else events_labeled  # labels only where steps need them
+    return paths.build_session_journeys(events(spark, sf), cfg, session_sizes(dt.raw_events(spark, sf)))
 
 
 def _jout(j):
@@ -197,7 +199,8 @@ def q_m_user_features(spark, sf):
 
 
 def q_m_journeys(spark, sf):
-    return paths.build_session_journeys(m_events_labeled(spark, sf), paths.JourneyConfig(),
+    events = cleaning.clean_events(dt.monthly_events(spark, sf))
+    return paths.build_session_journeys(events, paths.JourneyConfig(),
                                         session_sizes(dt.monthly_events(spark, sf)))
 
 
@@ -229,6 +232,66 @@ def q_pipeline(spark, sf):
     return pipeline.run_on_driver_tables(spark, sf).conversion.table
 
 
+def q_lloyd_step(spark, sf):
+    """Centres after one k-means step from the means of the deterministic segments."""
+    z = zscores(spark, sf)
+    moved = z.join(q_nearest(spark, sf).select("user_id", "segment_id"), "user_id")
+    return moved.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n_users"), *[F.avg(c).alias(c) for c in segments.feature_columns(z)])
+
+
+MIN_SESSIONS = 7  # leaves some users of every table unclustered
+
+
+def q_kmeans_invariants(spark, sf):
+    """One row of truths that hold for any right k-means segmentation, whatever its labels."""
+    uf = user_features_of(spark, sf)
+    cols = segments.feature_columns(uf)
+    res = segments.segment_users(uf, cols, min_sessions=MIN_SESSIONS, renumber_segments=False, k_range=range(2, 6), n_init=5)
+    eligible = uf.where(F.col("n_sessions") >= MIN_SESSIONS)
+    z = segments.standardize(eligible, cols)
+    nearest = segments.assign_nearest(z, cols, res.centers, "nearest", "d2").join(res.assignments, "user_id")
+    centers = F.array(*[F.array(*map(F.lit, c)) for c in res.centers])
+    means = nearest.groupBy("segment_id").agg(F.array(*[F.avg(c) for c in cols]).alias("m"))
+    gap = F.zip_with("m", F.element_at(centers, F.col("segment_id") + 1), lambda a, b: F.abs(a - b))
+    gaps = means.agg(F.max(F.array_max(gap)).alias("gap"), F.min("segment_id").alias("low"), F.max("segment_id").alias("high"))
+    fit = nearest.agg(F.count_if(F.col("nearest") != F.col("segment_id")).alias("off"))
+    rest = uf.where(F.col("n_sessions") < MIN_SESSIONS).join(res.assignments, "user_id", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("segment_id") == -1).alias("n_out"))
+    info = sorted((r.k, r.silhouette, r.inertia) for r in res.model_info.collect())  # one row per k
+    best = max(info, key=lambda r: (r[1], -r[0]))[0]
+    falls = all(b[2] <= a[2] for a, b in zip(info, info[1:], strict=False))
+    off, gap, out = fit.first(), gaps.first(), rest.first()  # one row each
+    return spark.createDataFrame([(
+        off.off == 0, gap.gap < 1e-2, gap.low == 0 and gap.high == res.chosen_k - 1, 0 < out.n == out.n_out,
+        best == res.chosen_k, falls,
+    )], "labels_are_nearest boolean, centers_are_means boolean, ids_are_contiguous boolean, "
+        "others_are_minus_one boolean, chosen_k_is_best boolean, cost_falls_with_k boolean")
+
+
+def q_dq_durations(spark, sf):
+    """Quality summary of events that carry a duration, some of them negative."""
+    ev = events_clean(spark, sf).withColumn("session_duration_sec", (F.col("src_order") % 7 - 1).cast("double"))
+    return quality.check_events(ev, items_first(spark, sf), users_latest(spark, sf)).summary.where(
+        F.col("metric").isin("n_events", "negative_session_duration")).select("metric", "value")
+
+
+def q_conversion_idle(spark, sf):
+    """Conversion with a segment whose users have no sessions."""
+    idle = users_latest(spark, sf).where(F.col("id") % 4 == 0).select(
+        (F.col("id") + 5 * F.lit(dt.DUPLICATE_OFFSET).cast("bigint")).alias("user_id"), F.lit(9).cast("int").alias("segment_id"))
+    return conversion.segment_conversion(sessions_of(spark, sf), assignments_of(spark, sf).unionByName(idle))
+
+
+def q_standardized_infinite(spark, sf):
+    """Standard scores where some features are infinite or not a number."""
+    uf = user_features_of(spark, sf)
+    odd = uf.withColumn("mean_session_duration", F.when(F.col("user_id") % 5 == 0, float("inf"))
+                        .when(F.col("user_id") % 7 == 0, float("nan")).when(F.col("user_id") % 11 == 0, float("-inf"))
+                        .otherwise(F.col("mean_session_duration")))
+    return segments.standardize(odd, ["mean_session_duration", "n_events"])
+
+
 def queries() -> dict[str, Query]:
     vocab = labels.content_vocabulary(dt.PART_CATEGORY_MAP)
     share_cols = [features.share_column(v) for v in vocab]
@@ -289,6 +352,14 @@ def queries() -> dict[str, Query]:
         "segment_conversion_month": lambda s, d: conversion.segment_conversion(q_m_sessions(s, d), m_assignments(s, d)),
         "journeys_month": lambda s, d: _jout(q_m_journeys(s, d)),
         "top_paths_month": lambda s, d: paths.top_paths(q_m_journeys(s, d)),
+        "parsed_events": text_tables.parsed_events,
+        "parsed_items": text_tables.parsed_items,
+        "parsed_users": text_tables.parsed_users,
+        "dq_durations": q_dq_durations,
+        "segment_conversion_idle": q_conversion_idle,
+        "standardized_infinite": q_standardized_infinite,
+        "lloyd_step": q_lloyd_step,
+        "kmeans_invariants": q_kmeans_invariants,
         "kmeans_segments": q_kmeans_segments,
         "k_selection": q_k_selection,
         "bootstrap_stability": q_bootstrap,

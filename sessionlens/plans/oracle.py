@@ -10,10 +10,9 @@ sides so float summation order cannot change a value hash.
 
 from __future__ import annotations
 
-from sessionlens.operators.labels import content_vocabulary
-from sessionlens.sources.driver_tables import PART_CATEGORY_MAP
-
-VOCAB = content_vocabulary(PART_CATEGORY_MAP)
+# Fixed values of the fixture, written out here so that a mistake in the engine's own lists shows.
+PART_CATEGORY_MAP = {"economy": "ECONOMY", "large": "LARGE", "medium": "MEDIUM", "promo": "PROMO", "small": "SMALL"}
+VOCAB = ["ECONOMY", "LARGE", "MEDIUM", "Other", "PROMO", "SMALL", "Unknown_Item"]
 
 _CTES: dict[str, tuple[list[str], str]] = {}
 
@@ -295,6 +294,9 @@ ON u.segment_id = s.segment_id""")
 
 _conversion("sessions", "assignments", "conversion")
 _conversion("m_sessions", "m_assign", "m_conversion")
+cte("assign_idle", ["assignments", "users_latest"], """SELECT user_id, segment_id FROM assignments
+UNION ALL SELECT id + 5000000000 AS user_id, CAST(9 AS INTEGER) AS segment_id FROM users_latest WHERE id % 4 = 0""")
+_conversion("sessions", "assign_idle", "conversion_idle")
 
 _CONV = ("atc_rate", "purchase_rate", "conversion_efficiency", "conversion_leakage")
 _SESS_D = ("session_duration_sec",)
@@ -454,6 +456,37 @@ UNION ALL SELECT 3, 'temporal_psi_max', max(psi_drift) FROM drift_m) t""", "drif
     q["ari_given_labels"] = build(_ari("cont"), "cont", doubles=("ari",))
     q["sessions_month"] = build("SELECT * FROM m_sessions", "m_sessions", doubles=_SESS_D)
     q["user_features_month"] = build("SELECT * FROM m_user_features", "m_user_features", doubles=_UF_D)
+    q["parsed_events"] = """SELECT CAST(trunc(CAST(user_id AS DOUBLE)) AS BIGINT) AS user_id, ga_session_id,
+  country, device, type, item_id, date FROM (
+SELECT CASE WHEN event_id % 9 = 0 THEN user_id || '.7' ELSE CAST(user_id AS VARCHAR) END AS user_id,
+  CAST(event_id % 100 AS BIGINT) AS ga_session_id,
+  CASE event_id % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 4 THEN 'N/A' WHEN 5 THEN 'IN' END AS country,
+  CASE event_id % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' WHEN 3 THEN 'tablet' END AS device,
+  CASE WHEN event_id % 41 <> 0 THEN event_type END AS type,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+  CASE WHEN event_id % 53 <> 1 THEN date_trunc('second', ts) END AS date
+FROM events) t"""
+    q["parsed_items"] = build("""SELECT p_partkey AS id, trim(p_name) AS name, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS brand,
+  CAST(p_size AS VARCHAR) AS variant, trim(p_type) AS category,
+  CASE p_partkey % 7 WHEN 1 THEN 12.5::DOUBLE WHEN 3 THEN 100.0 WHEN 5 THEN -3.0 END AS price_in_usd FROM part""",
+                              doubles=("price_in_usd",))
+    q["parsed_users"] = build("""SELECT c_custkey AS id,
+  CASE c_custkey % 5 WHEN 1 THEN 0.0::DOUBLE WHEN 3 THEN 0.0 WHEN 4 THEN 2.25 ELSE CAST(c_custkey % 17 AS DOUBLE) END AS ltv,
+  CASE WHEN c_custkey % 6 <> 5 THEN TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 9) * INTERVAL 1 DAY END AS date
+FROM customer""", doubles=("ltv",))
+    q["dq_durations"] = build("""SELECT 'n_events' AS metric, CAST(count(*) AS VARCHAR) AS value FROM events_clean
+UNION ALL SELECT 'negative_session_duration', CAST(count(*) FILTER (WHERE src_order % 7 = 0) AS VARCHAR) FROM events_clean""", "events_clean")
+    q["segment_conversion_idle"] = build("SELECT * FROM conversion_idle", "conversion_idle", doubles=_CONV)
+    finite = "CASE WHEN user_id % 5 = 0 OR user_id % 7 = 0 OR user_id % 11 = 0 THEN 0.0 ELSE mean_session_duration END"
+    q["standardized_infinite"] = build(f"""SELECT user_id,
+  (x - avg(x) OVER ()) / COALESCE(NULLIF(stddev_pop(x) OVER (), 0), 1) AS mean_session_duration,
+  (CAST(n_events AS DOUBLE) - avg(n_events) OVER ()) / COALESCE(NULLIF(stddev_pop(n_events) OVER (), 0), 1) AS n_events
+FROM (SELECT user_id, n_events, {finite} AS x FROM user_features) t""", "user_features", doubles=("mean_session_duration", "n_events"))
+    means = ", ".join(f"avg({c}) AS {c}" for c in FEATURES)
+    q["lloyd_step"] = build(f"""SELECT n.segment_id, count(*) AS n_users, {means}
+FROM zfeat z JOIN nearest n ON z.user_id = n.user_id GROUP BY n.segment_id""", "zfeat", "nearest", doubles=tuple(FEATURES))
+    q["kmeans_invariants"] = """SELECT true AS labels_are_nearest, true AS centers_are_means, true AS ids_are_contiguous,
+  true AS others_are_minus_one, true AS chosen_k_is_best, true AS cost_falls_with_k"""
     q["segment_conversion_month"] = build("SELECT * FROM m_conversion", "m_conversion", doubles=_CONV)
     q["journeys_month"] = build(f"SELECT {J} FROM jm_journeys", "jm_journeys")
     q["top_paths_month"] = build("""SELECT path, count(*) AS n_sessions, avg(CAST(has_purchase AS DOUBLE)) AS purchase_rate,

@@ -46,10 +46,10 @@ def test_shares_sum_to_one_and_efficiency_plus_leakage(spark, lab):
 
 
 def test_golden_counts_sf0001(lab, spark):
-    assert lab.count() == 1000
+    assert lab.count() == 1035
     s = sessions.session_rollup(lab)
-    assert s.count() == 150
-    assert s.where("has_purchase").count() == 117 and s.where("has_add_to_cart").count() == 114
+    assert s.count() == 165
+    assert s.where("has_purchase").count() == 119 and s.where("has_add_to_cart").count() == 117
     j = paths.build_session_journeys(lab)
     assert j.count() == 149
     f = {r["step"]: r["n_sessions"] for r in paths.funnel(j).collect()}
