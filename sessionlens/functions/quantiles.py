@@ -34,14 +34,12 @@ def grouped_median(
     suffix: str = "_median",
     accuracy: int = 10000,
     margin: int = 20,
-    broadcast_stats: bool = False,
     extra_aggs: list[Column] | None = None,
 ) -> DataFrame:
     """One row per group with ``<col><suffix>`` (and any ``extra_aggs``).
 
-    ``broadcast_stats``: the bracket table has one row per group; callers
-    with a bounded number of groups (segments: at most k) broadcast it,
-    others get a shuffle join.
+    The bracket comes from a sketch; the plan itself checks that it holds the
+    middle ranks (counts below it and up to its end) and raises if not.
     """
     extra_aggs = list(extra_aggs or [])
     if not value_cols:
@@ -54,7 +52,6 @@ def grouped_median(
           for i, c in enumerate(value_cols)],
     )
     brackets = stats.select(*group_cols, *[f"_q{i}" for i in range(len(value_cols))])
-    b = F.broadcast(brackets) if broadcast_stats else brackets
     # per row and column: the value if inside the bracket, a null "below" marker, or nothing
     items = []
     for i, c in enumerate(value_cols):
@@ -63,7 +60,7 @@ def grouped_median(
         items.append(F.when(keep, F.struct(F.lit(i).alias("_f"), F.when(v >= lo, v).alias("_v"))))
     kept = (
         df.select(*group_cols, *value_cols)
-        .join(b, group_cols)
+        .join(brackets, group_cols)
         .select(*group_cols, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("_x"))
         .select(*group_cols, "_x._f", "_x._v")
     )
@@ -81,13 +78,16 @@ def grouped_median(
     r_hi = F.ceil((F.col("_n") - 1) / 2)
     picked = (
         hist.withColumn("_cum", cum)
-        .where(F.col("_v").isNotNull())
         .join(counts, keys)
         .groupBy(*keys)
         .agg(
             F.min(F.when(F.col("_cum") > r_lo, F.col("_v"))).alias("_a"),
             F.min(F.when(F.col("_cum") > r_hi, F.col("_v"))).alias("_b"),
+            F.bool_and(F.when(F.col("_v").isNull(), F.col("_cum") <= r_lo).otherwise(F.lit(True))).alias("_low_ok"),
+            F.bool_or(F.col("_cum") > r_hi).alias("_high_ok"),
         )
+        .where(F.when(F.col("_low_ok") & F.col("_high_ok"), F.lit(True)).otherwise(
+            F.raise_error(F.lit("median: the sketch bracket misses the middle ranks; raise margin"))))
     )
     medians = picked.groupBy(*group_cols).agg(
         *[F.max(F.when(F.col("_f") == i, (F.col("_a") + F.col("_b")) / 2.0)).alias(f"{c}{suffix}")

@@ -80,7 +80,8 @@ def bootstrap_stability(
     vec = vectors(scaled, features, [id_col, "segment_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     def one_run(run: int):
         w = poisson_draws(hash_uniform(F.col(id_col), F.lit(run), F.lit(seed)), sample_frac)
-        sample = vec.withColumn("w", w.cast("double")).where(F.col("w") > 0)
+        # one copy of the run's sample for all its fits and predictions, released after them
+        sample = vec.withColumn("w", w.cast("double")).where(F.col("w") > 0).persist(StorageLevel.MEMORY_AND_DISK)
         model, _ = fit_best_kmeans(sample, chosen_k, seed + run, n_init, max_iter, weight_col="w", parallelism=1)
         preds = model.transform(sample)
         ari = adjusted_rand_index(preds, "segment_id", "prediction", weight_col="w").first()["ari"]
@@ -88,6 +89,7 @@ def bootstrap_stability(
             sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", weightCol="w").evaluate(preds)
         else:
             sil = float("nan")
+        sample.unpersist()
         return (run, float(ari), float(sil))
 
     # runs are independent jobs over the same cached vectors: submit a few at once

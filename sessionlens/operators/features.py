@@ -19,6 +19,7 @@ SESSION_FEATURES = (
 )
 EVENT_FEATURES = ("n_events", "purchase_rate_events", "active_days", "first_seen", "last_seen")
 SHARE_PREFIX = "share_content_"
+MAX_CONTENT_TYPES = 5000
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,10 @@ def user_session_features(sessions: DataFrame) -> DataFrame:
 
 
 def present_content_types(events: DataFrame) -> list[str]:
-    """Content types present in the events (bounded by the labeller's vocabulary)."""
-    rows = events.select("content_type").where(F.col("content_type").isNotNull()).distinct().collect()
+    """Content types present in the events; more than ``MAX_CONTENT_TYPES`` are refused (one column each)."""
+    rows = events.select("content_type").where(F.col("content_type").isNotNull()).distinct().limit(MAX_CONTENT_TYPES + 1).collect()
+    if len(rows) > MAX_CONTENT_TYPES:
+        raise ValueError(f"more than {MAX_CONTENT_TYPES} content types")
     return sorted(r[0] for r in rows)
 
 

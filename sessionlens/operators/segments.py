@@ -92,9 +92,20 @@ def assign_nearest(df: DataFrame, cols: list[str], centers: list[list[float]],
     return out.drop("_d")
 
 
+MAX_LABELS = 10_000
+
+
+def bounded_rows(per_label: DataFrame, most: int = MAX_LABELS) -> list:
+    """The rows of a one-row-per-label table; more than ``most`` labels are refused."""
+    rows = per_label.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels; cluster statistics are for a bounded number of clusters")
+    return rows
+
+
 def label_centroids(df: DataFrame, cols: list[str], label_col: str) -> list[tuple[int, list[float]]]:
-    """Mean vector per label (k rows to the driver), sorted by label."""
-    rows = df.groupBy(label_col).agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate(cols)]).collect()
+    """Mean vector per label (at most ``MAX_LABELS`` rows to the driver), sorted by label."""
+    rows = bounded_rows(df.groupBy(label_col).agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate(cols)]))
     return sorted((r[label_col], [r[f"c{i}"] for i in range(len(cols))]) for r in rows)
 
 
@@ -121,10 +132,10 @@ def silhouette_sq_euclidean(df: DataFrame, cols: list[str], label_col: str,
     for c in cols:
         sqn = F.col(c) * F.col(c) if sqn is None else sqn + F.col(c) * F.col(c)
     pts = df.select(F.col(label_col).alias("_l"), w.alias("_w"), sqn.alias("_sqn"), *cols)
-    stats = pts.groupBy("_l").agg(
+    stats = bounded_rows(pts.groupBy("_l").agg(
         F.sum("_w").alias("W"), F.sum(F.col("_w") * F.col("_sqn")).alias("Q"),
         *[F.sum(F.col("_w") * F.col(c)).alias(f"S{i}") for i, c in enumerate(cols)],
-    ).collect()
+    ))
     clusters = sorted(stats, key=lambda r: r["_l"])
     if len(clusters) < 2:
         raise ValueError("silhouette needs at least two clusters")
@@ -209,7 +220,7 @@ def outlier_policy(labels: DataFrame, threshold: float, label_col: str = "segmen
     """Clusters holding less than ``threshold`` of the users become -1 (0 = off).
 
     The per-cluster share table has one row per cluster; the tiny clusters are
-    joined back by broadcast (bounded by k).
+    joined back (one row per label).
     """
     if not threshold or threshold <= 0:
         return labels
@@ -217,7 +228,7 @@ def outlier_policy(labels: DataFrame, threshold: float, label_col: str = "segmen
         "_share", F.col("_n") / F.sum("_n").over(Window.partitionBy())
     )
     tiny = shares.where(F.col("_share") < threshold).select(F.col(label_col).alias("_tiny"))
-    out = labels.join(F.broadcast(tiny), labels[label_col] == tiny["_tiny"], "left")
+    out = labels.join(tiny, labels[label_col] == tiny["_tiny"], "left")
     return out.withColumn(label_col, F.when(F.col("_tiny").isNotNull(), F.lit(-1)).otherwise(F.col(label_col)).cast("int")).drop("_tiny")
 
 
@@ -225,7 +236,7 @@ def renumber(assignments: DataFrame, label_col: str = "segment_id") -> DataFrame
     """Map the non-negative ids to 0..n-1 in sorted order; -1 stays -1."""
     ids = assignments.where(F.col(label_col) >= 0).select(F.col(label_col).alias("_old")).distinct()
     mapping = ids.withColumn("_new", (F.dense_rank().over(Window.orderBy("_old")) - 1).cast("int"))
-    out = assignments.join(F.broadcast(mapping), assignments[label_col] == mapping["_old"], "left")
+    out = assignments.join(mapping, assignments[label_col] == mapping["_old"], "left")
     return out.withColumn(label_col, F.coalesce(F.col("_new"), F.lit(-1)).cast("int")).drop("_old", "_new")
 
 
@@ -247,8 +258,7 @@ def segment_profile(user_features: DataFrame, assignments: DataFrame, features:
                                                  .alias(f"{c}_median") for c in cols])
     elif median == "exact":
         # means and n_users ride along in the median's first grouped pass
-        # one bracket row per segment (at most k rows): bounded, so it is broadcast
-        out = grouped_median(j, [label_col], cols, suffix="_median", extra_aggs=extra, broadcast_stats=True)
+        out = grouped_median(j, [label_col], cols, suffix="_median", extra_aggs=extra)
     else:
         raise ValueError("median must be 'exact' or 'approx'")
     ordered = ["n_users"]
