@@ -16,7 +16,8 @@ an anchor, fingerprints of one component are linked as a star, not pair by pair.
 An anchor with more than ``max_group`` fingerprints is cut into blocks; every
 pair of blocks becomes a group of its own, so no link is lost and no task holds
 more than two blocks.  Links are joined into components by alternating large and
-small stars over Parquet tables in the shared folder.
+small stars over Parquet tables in the shared folder; the documents of one
+fingerprint and the fingerprints of one class are joined in up to ``spread`` parts.
 
 Null and empty texts, and texts without a word, have fingerprint zero and are
 linked like any other.  Equal rows are members of one class each; rows with a
@@ -272,21 +273,33 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def with_part(rows: DataFrame, by: str, spread: int) -> DataFrame:
+    """``rows`` with the column ``part``: one of ``spread`` numbers, by a hash of the column ``by``."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
+
+
 def near_duplicates(
     docs: DataFrame,
     distance: int = 3,
     shingle_words: int = 3,
     segments: int = 2,
     max_group: int = 100_000,
+    spread: int = 256,
     seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: ``fp`` and ``component_id``, the smallest doc_id of its near-duplicate class."""
-    prints = written(fingerprints(docs, shingle_words, seed, id_col, text_col), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    prints = written(with_part(fingerprints(docs, shingle_words, seed, id_col, text_col), "doc_id", spread), "fingerprints")
+    shares = written(prints.groupBy("fp", "part").agg(F.min("doc_id").alias("least")), "fingerprint-parts")
+    classes = written(shares.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
     roots = components(links(cover(classes, distance, segments), distance, max_group))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(merged, "fp").select("doc_id", "fp", "component_id")
+    rooted = written(with_part(rooted, "fp", spread), "rooted")
+    root_shares = rooted.groupBy("root", "part").agg(F.min("least").alias("least"))
+    least = root_shares.groupBy("root").agg(F.min("least").alias("component_id"))
+    # members meet their class by (root, part), documents their fingerprint by (fp, part): a class or a
+    # fingerprint that holds a large share of all rows goes to up to `spread` tasks
+    merged = rooted.join(root_shares.select("root", "part").join(least, "root"), ["root", "part"]).select("fp", "component_id")
+    merged = shares.select("fp", "part").join(merged, "fp")
+    return prints.join(merged, ["fp", "part"]).select("doc_id", "fp", "component_id")
