@@ -1,8 +1,8 @@
 """Bootstrap stability of a segmentation: refit k-means on resamples, compare by ARI.
 
 Resampling with replacement is expressed as a Poisson(frac) draw count per
-(user, run): a hash of (user_id, run, seed) gives a uniform number, and the
-inverse Poisson CDF turns it into a count.  The counts are the same under any
+(user, run): the MD5 of "user_id:run:seed" gives a uniform number, and the
+inverse Poisson CDF turns it into a count, so any engine can repeat the draws.  The counts are the same under any
 partitioning or retry (no ``rand()``), every run is one weighted MLlib fit
 over the same cached vectors, and the agreement with the baseline labels is
 a weighted contingency table (each drawn copy counts once).  The sample size
@@ -22,14 +22,16 @@ from sessionlens.schema import assert_unique
 from sessionlens.operators.segments import fit_best_kmeans, reliable, standardize, vectors
 from sessionlens.operators.stability import adjusted_rand_index
 
-_MANTISSA = (1 << 53) - 1
+#: Leading hexadecimal digits of the hash that make the uniform number (52 bits: exact in a double).
+HASH_DIGITS = 13
 #: Largest draw count of a user that the inverse CDF covers; a share that needs more is refused.
 MAX_DRAWS = 200
 
 
 def hash_uniform(*cols: Column) -> Column:
-    """Deterministic uniform [0, 1) from a 64-bit hash of the given columns."""
-    return (F.xxhash64(*cols).bitwiseAND(F.lit(_MANTISSA)).cast("double")) / F.lit(float(1 << 53))
+    """Deterministic uniform [0, 1) from the MD5 of the columns' texts, joined by colons."""
+    digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** HASH_DIGITS))
 
 
 def poisson_thresholds(lam: float, tail: float = 1e-15) -> list[float]:
@@ -55,6 +57,11 @@ def poisson_draws(u: Column, lam: float) -> Column:
     return total
 
 
+def draw_counts(user: Column, run: Column, seed: int, sample_frac: float) -> Column:
+    """How often a user is drawn into the sample of a run."""
+    return poisson_draws(hash_uniform(user, run, F.lit(seed)), sample_frac)
+
+
 def bootstrap_stability(
     user_features: DataFrame,
     assignments: DataFrame,
@@ -79,7 +86,7 @@ def bootstrap_stability(
     scaled = reliable(standardize(base, features, keep=[id_col, "segment_id"]))
     vec = vectors(scaled, features, [id_col, "segment_id"]).persist(StorageLevel.MEMORY_AND_DISK)
     def one_run(run: int):
-        w = poisson_draws(hash_uniform(F.col(id_col), F.lit(run), F.lit(seed)), sample_frac)
+        w = draw_counts(F.col(id_col), F.lit(run), seed, sample_frac)
         # one copy of the run's sample for all its fits and predictions, released after them
         sample = vec.withColumn("w", w.cast("double")).where(F.col("w") > 0).persist(StorageLevel.MEMORY_AND_DISK)
         model, _ = fit_best_kmeans(sample, chosen_k, seed + run, n_init, max_iter, weight_col="w", parallelism=1)

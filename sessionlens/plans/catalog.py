@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from sessionlens.operators import cleaning, conversion, features, labels, paths, quality, segments, sessions, stability
+from sessionlens.operators import bootstrap, cleaning, conversion, features, labels, paths, quality, segments, sessions, stability
 from sessionlens.sources import driver_tables as dt, text_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,13 +219,23 @@ def q_k_selection(spark, sf):
 
 
 def q_bootstrap(spark, sf):
-    from sessionlens.operators import bootstrap
-
     uf = user_features_of(spark, sf)
     res = segments.segment_users(uf, segments.feature_columns(uf), k_range=range(3, 8))
     return bootstrap.bootstrap_stability(uf, res.assignments, res.feature_columns, res.chosen_k)
 
 
+def q_bootstrap_draws(spark, sf):
+    """Draw counts of every user in the first three bootstrap samples."""
+    runs = users_latest(spark, sf).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("run"))
+    return runs.select("user_id", "run", bootstrap.draw_counts(F.col("user_id"), F.col("run"), 42, 0.8).alias("draws"))
+
+
+def q_bootstrap_ari(spark, sf):
+    """Agreement of the first bootstrap sample's nearest centres with the labels, each copy counted."""
+    w = bootstrap.draw_counts(F.col("user_id"), F.lit(1), 42, 0.8)
+    return stability.adjusted_rand_index(_nearest(spark, sf).withColumn("w", w).where("w > 0"), "true_segment", "segment_id", "w")
+
+
 def q_pipeline(spark, sf):
     from sessionlens.plans import pipeline
 
@@ -358,6 +368,8 @@ def queries() -> dict[str, Query]:
         "dq_durations": q_dq_durations,
         "segment_conversion_idle": q_conversion_idle,
         "standardized_infinite": q_standardized_infinite,
+        "bootstrap_draws": q_bootstrap_draws,
+        "bootstrap_ari_given_labels": q_bootstrap_ari,
         "lloyd_step": q_lloyd_step,
         "kmeans_invariants": q_kmeans_invariants,
         "kmeans_segments": q_kmeans_segments,

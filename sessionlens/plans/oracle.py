@@ -10,6 +10,8 @@ sides so float summation order cannot change a value hash.
 
 from __future__ import annotations
 
+import math
+
 # Fixed values of the fixture, written out here so that a mistake in the engine's own lists shows.
 PART_CATEGORY_MAP = {"economy": "ECONOMY", "large": "LARGE", "medium": "MEDIUM", "promo": "PROMO", "small": "SMALL"}
 VOCAB = ["ECONOMY", "LARGE", "MEDIUM", "Other", "PROMO", "SMALL", "Unknown_Item"]
@@ -259,13 +261,20 @@ _drift("shares_w", "drift_w")
 _drift("shares_m", "drift_m")
 
 
+def _draws(user: str, run: str) -> str:
+    """Poisson(0.8) draws of a user: how many cumulative probabilities the hashed uniform number exceeds."""
+    u = f"CAST('0x' || substr(md5(concat_ws(':', {user}, {run}, 42)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    cdf = [sum(math.exp(-0.8) * 0.8**j / math.factorial(j) for j in range(k + 1)) for k in range(14)]
+    return "CAST(" + " + ".join(f"CAST({u} > {c!r}::DOUBLE AS INT)" for c in cdf) + " AS INT)"
+
+
 def _ari(src: str) -> str:
     return f"""SELECT CASE WHEN fn = 0 AND fp = 0 THEN 1.0
   ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari
 FROM (SELECT sq - n AS tp, sb - sq AS fp, sa - sq AS fn, n * n - (sb - sq) - (sa - sq) - sq AS tn FROM (
-  SELECT (SELECT sum(n_ij) FROM cont) AS n, (SELECT sum(n_ij * n_ij) FROM cont) AS sq,
-         (SELECT sum(x * x) FROM (SELECT sum(n_ij) AS x FROM cont GROUP BY t) q) AS sa,
-         (SELECT sum(x * x) FROM (SELECT sum(n_ij) AS x FROM cont GROUP BY p) q) AS sb) s) r"""
+  SELECT (SELECT sum(n_ij) FROM {src}) AS n, (SELECT sum(n_ij * n_ij) FROM {src}) AS sq,
+         (SELECT sum(x * x) FROM (SELECT sum(n_ij) AS x FROM {src} GROUP BY t) q) AS sa,
+         (SELECT sum(x * x) FROM (SELECT sum(n_ij) AS x FROM {src} GROUP BY p) q) AS sb) s) r"""
 
 
 def _profile_sql(src_features: str, src_assign: str) -> tuple[str, list[str]]:
@@ -454,6 +463,9 @@ UNION ALL SELECT 1, 'temporal_l1_max', max(l1_drift) FROM drift_m
 UNION ALL SELECT 2, 'temporal_psi_mean', avg(psi_drift) FROM drift_m
 UNION ALL SELECT 3, 'temporal_psi_max', max(psi_drift) FROM drift_m) t""", "drift_m", doubles=("value",))
     q["ari_given_labels"] = build(_ari("cont"), "cont", doubles=("ari",))
+    q["bootstrap_draws"] = build(
+        f"SELECT id AS user_id, run, {_draws('id', 'run')} AS draws FROM users_latest, (SELECT unnest([1, 2, 3]) AS run)", "users_latest")
+    q["bootstrap_ari_given_labels"] = build(_ari("boot_cont"), "boot_cont", doubles=("ari",))
     q["sessions_month"] = build("SELECT * FROM m_sessions", "m_sessions", doubles=_SESS_D)
     q["user_features_month"] = build("SELECT * FROM m_user_features", "m_user_features", doubles=_UF_D)
     q["parsed_events"] = """SELECT CAST(trunc(CAST(user_id AS DOUBLE)) AS BIGINT) AS user_id, ga_session_id,
@@ -505,3 +517,5 @@ cte("sp", ["j_sp"], "SELECT * FROM j_sp")
 cte("ari_cont", ["nearest"], """SELECT true_segment AS t, segment_id AS p, CAST(count(*) AS DOUBLE) AS n_ij
 FROM nearest GROUP BY true_segment, segment_id""")
 cte("cont", ["ari_cont"], "SELECT * FROM ari_cont")
+cte("boot_cont", ["nearest"], f"""SELECT t, p, sum(w) AS n_ij FROM (
+  SELECT true_segment AS t, segment_id AS p, CAST({_draws('user_id', '1')} AS DOUBLE) AS w FROM nearest) WHERE w > 0 GROUP BY t, p""")
