@@ -22,12 +22,6 @@ def _data_columns(events: DataFrame) -> list[str]:
     return [c for c in events.columns if c != SRC_ORDER]
 
 
-def _metric(df: DataFrame, ord_: int, name: str, value: F.Column) -> DataFrame:
-    return df.agg(value.alias("_v")).select(
-        F.lit(ord_).alias("ord"), F.lit(name).alias("metric"), F.col("_v").cast("string").alias("value")
-    )
-
-
 def null_counts(events: DataFrame) -> DataFrame:
     """(column, null_count) for columns with nulls, most nulls first."""
     cols = _data_columns(events)
@@ -39,18 +33,24 @@ def null_counts(events: DataFrame) -> DataFrame:
     return long.where(F.col("null_count") > 0).orderBy(F.col("null_count").desc(), F.col("column").asc())
 
 
-def duplicate_counts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two one-row tables: full-row duplicates and key duplicates (rows beyond the first).
+def duplicate_counts(events: DataFrame) -> DataFrame:
+    """One row: full-row duplicates and key duplicates (rows beyond the first).
 
     Full rows are grouped once (partial aggregation collapses copies before
     the shuffle); the key groups are a roll-up of those groups.
     """
-    cols = _data_columns(events)
-    full = events.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    by_key = full.groupBy(*EVENT_KEY).agg(F.sum("_n").alias("_n"))
-    a = full.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_event_rows"))
-    b = by_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_events_by_key"))
-    return a, b
+    full = events.groupBy(*[F.col(f"`{c}`") for c in _data_columns(events)]).agg(F.count(F.lit(1)).alias("_n"))
+    by_key = full.groupBy(*EVENT_KEY).agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") - 1).alias("_copies"))
+    return by_key.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("duplicate_event_rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_events_by_key"),
+    )
+
+
+def _metric_rows(one_row: DataFrame, *metrics: tuple[int, str, F.Column]) -> DataFrame:
+    rows = [F.struct(F.lit(o).alias("ord"), F.lit(name).alias("metric"), value.cast("string").alias("value"))
+            for o, name, value in metrics]
+    return one_row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def unknown_rows(events: DataFrame, dim: DataFrame, key: str, dim_key: str = "id") -> DataFrame:
@@ -71,41 +71,30 @@ def check_events(events: DataFrame, items: DataFrame, users: DataFrame,
     """``sample_rows``: rows of the unknown-reference details, None for all of them (unordered)."""
     cols = _data_columns(events)
     nulls = null_counts(events)
-    dup_rows, dup_key = duplicate_counts(events)
     missing_items = unknown_rows(events, items, "item_id")
     missing_users = unknown_rows(events, users, "user_id")
 
-    base_aggs = [F.count(F.lit(1)).alias("n_events")]
-    base_aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_n{i}") for i, c in enumerate(cols)]
+    # one pass with a flag per unknown reference, and one duplicate aggregate
+    flagged = events
+    for key, dim, flag in (("item_id", items, "_item"), ("user_id", users, "_user")):
+        known = dim.select(F.col("id").alias(flag)).distinct()
+        flagged = flagged.join(known, flagged[key] == known[flag], "left")
     has_date = "date" in events.columns
     has_dur = "session_duration_sec" in events.columns
-    if has_date:
-        base_aggs += [F.min("date").alias("_min"), F.max("date").alias("_max")]
-    if has_dur:
-        base_aggs.append(F.count_if(F.col("session_duration_sec") < 0).alias("_neg"))
-    base = events.agg(*base_aggs)
+    aggs = [F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("_item").isNull()).alias("_items"),
+            F.count_if(F.col("_user").isNull()).alias("_users")]
+    aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_n{i}") for i, c in enumerate(cols)]
     n_null_cols = sum((F.col(f"_n{i}") > 0).cast("int") for i in range(len(cols))) if cols else F.lit(0)
-    rows = [
-        F.struct(F.lit(1).alias("ord"), F.lit("n_events").alias("metric"), F.col("n_events").cast("string").alias("value")),
-        F.struct(F.lit(4).alias("ord"), F.lit("columns_with_nulls").alias("metric"), n_null_cols.cast("string").alias("value")),
-    ]
+    metrics = [(1, "n_events", F.col("n_events")), (4, "columns_with_nulls", n_null_cols),
+               (5, "events_with_unknown_item", F.col("_items")), (6, "events_with_unknown_user", F.col("_users"))]
     if has_date:
-        rows += [
-            F.struct(F.lit(7).alias("ord"), F.lit("min_event_date").alias("metric"), timestamp_text(F.col("_min")).alias("value")),
-            F.struct(F.lit(8).alias("ord"), F.lit("max_event_date").alias("metric"), timestamp_text(F.col("_max")).alias("value")),
-        ]
+        aggs += [F.min("date").alias("_min"), F.max("date").alias("_max")]
+        metrics += [(7, "min_event_date", timestamp_text(F.col("_min"))), (8, "max_event_date", timestamp_text(F.col("_max")))]
     if has_dur:
-        rows.append(F.struct(F.lit(9).alias("ord"), F.lit("negative_session_duration").alias("metric"),
-                             F.col("_neg").cast("string").alias("value")))
-    base_rows = base.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    summary = (
-        base_rows.unionByName(dup_rows.select(F.lit(2).alias("ord"), F.lit("duplicate_event_rows").alias("metric"),
-                                              F.col("duplicate_event_rows").cast("string").alias("value")))
-        .unionByName(dup_key.select(F.lit(3).alias("ord"), F.lit("duplicate_events_by_key").alias("metric"),
-                                    F.col("duplicate_events_by_key").cast("string").alias("value")))
-        .unionByName(_metric(missing_items, 5, "events_with_unknown_item", F.count(F.lit(1))))
-        .unionByName(_metric(missing_users, 6, "events_with_unknown_user", F.count(F.lit(1))))
-    )
+        aggs.append(F.count_if(F.col("session_duration_sec") < 0).alias("_neg"))
+        metrics.append((9, "negative_session_duration", F.col("_neg")))
+    duplicates = [(o, name, F.col(name)) for o, name in ((2, "duplicate_event_rows"), (3, "duplicate_events_by_key"))]
+    summary = _metric_rows(flagged.agg(*aggs), *metrics).unionByName(_metric_rows(duplicate_counts(events), *duplicates))
     details = {
         "event_nulls": nulls,
         "missing_items": _first_rows(missing_items, sample_rows),
