@@ -31,21 +31,25 @@ import os
 import re
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from sessionlens.llm.common import kept_by_worker, map_texts, shared_path, slices, written
+from sessionlens.llm.common import kept_by_worker, map_texts, shared_path, slices, slices_of_bytes, written
 
 MAGIC = b"BPL1"
 MAX_TOKENIZER_BYTES = 64 << 20
-#: Distinct words whose ids a Python worker remembers per generation (there are two).
-CACHED_WORDS = 600_000
+#: Distinct words whose ids a Python worker remembers; beyond it those of the last slice stay.
+CACHED_WORDS = 1_000_000
+#: Bytes of text that are cut into words at a time (one text at least).
+SLICE_BYTES = 16 << 20
 #: New words that the library is asked for at a time.
 ASKED_WORDS = 256
 
@@ -94,12 +98,18 @@ def unpack(block: bytes) -> np.ndarray:
 UNUSUAL = re.compile("[^\\x00-\u012f\u0131-\u024f\u2010-\u2027]")
 
 
+def lines(column: pa.LargeStringArray) -> list[str]:
+    """The values of a column without nulls and line feeds as a list (one split instead of a scalar for each)."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+    return pc.binary_join(one, pa.scalar("\n", column.type))[0].as_py().split("\n") if len(column) else []
+
+
 class WordEncoder:
     """Encodes texts by a tokenizer of the tokenizers library that lower-cases and never joins across a blank.
 
     A text is lower-cased where that cannot change the result, cut at blanks and
     line feeds, and the ids of each distinct piece come from the library once and
-    are kept.  New words of letters are asked for in one text and told apart by
+    are kept: a column of words and one of their ids, searched with Arrow.  New words of letters are asked for in one text and told apart by
     the tokens that end a word; of a word with one full stop or comma behind it
     only the word is asked for, as the tokenizer splits the two itself.  Lower-cased
     words skip the tokenizer's normalizer and splitting pattern (``lean``), which
@@ -120,13 +130,14 @@ class WordEncoder:
         self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         kinds = lambda part, key: [x["type"] for x in (config.get(part) or {}).get(key, [])]
         self.folds = "Lowercase" in kinds("normalizer", "normalizers")
-        self.marked = [t["content"] for t in config.get("added_tokens", [])]
+        marked = [re.escape(t["content"]) for t in config.get("added_tokens", []) if t["content"]]
+        self.marks = re.compile("|".join(marked)) if marked else None
         if {"NFC", "Replace", "Lowercase"} >= set(kinds("normalizer", "normalizers")) and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]:
             steps = [{"type": "WhitespaceSplit"}, config["pre_tokenizer"]["pretokenizers"][1]]
             config |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
             self.lean = Tokenizer.from_str(json.dumps(config))
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
         self.stops = dict(zip(".,", self.ask([".", ","]), strict=True))
 
     def ask(self, pieces: list[str]) -> list[bytes]:
@@ -144,42 +155,54 @@ class WordEncoder:
         data, ends = ids.tobytes(), ends.tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def learn(self, pieces: set[str], folded: bool) -> None:
-        """Put the ids of the pieces into ``known``."""
-        known, old, stops = self.known, self.old, self.stops
-        back = [p for p in pieces if p in old]
-        known.update(zip(back, map(old.__getitem__, back), strict=True))
-        pieces.difference_update(back)
-        words = [p for p in pieces if p.isalpha()]
-        pieces.difference_update(words)
+    def learn(self, pieces: list[str], folded: bool) -> list[bytes]:
+        """Ids of each of the pieces, which differ from each other."""
+        stops, found = self.stops, {}
         stopped = [p for p in pieces if p[-1:] in stops and p[:-1].isalpha()]
-        pieces.difference_update(stopped)
-        words += [w for w in {p[:-1] for p in stopped}.difference(words) if w not in known and w not in old]
+        words = list({p for p in pieces if p.isalpha()}.union(p[:-1] for p in stopped))
         for k in range(0, len(words), ASKED_WORDS):
             some = words[k : k + ASKED_WORDS]
-            known.update(zip(some, self.ask_words(some, folded), strict=True))
-        for p in stopped:
-            known[p] = (known.get(p[:-1]) or old[p[:-1]]) + stops[p[-1]]
-        if pieces:
-            others = list(pieces)
-            known.update(zip(others, self.ask(others), strict=True))
+            found.update(zip(some, self.ask_words(some, folded), strict=True))
+        found.update([(p, found[p[:-1]] + stops[p[-1]]) for p in stopped])
+        others = [p for p in pieces if p not in found]
+        found.update(zip(others, self.ask(others) if others else (), strict=True))
+        return list(map(found.__getitem__, pieces))
+
+    def encode_cut(self, texts: list[str], folded: bool) -> list[bytes]:
+        """Ids of texts without line feeds: cut at blanks, each distinct piece looked up once, ids gathered by place."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary
+        place = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        unknown = place < 0
+        if unknown.any():
+            new = distinct.filter(pa.array(unknown))
+            place[unknown] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = pa.concat_arrays([self.ids, pa.array(self.learn(lines(new), folded), pa.large_binary())])
+        own = self.ids.take(pa.array(place))
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.ids = distinct, own
+        _, starts, data = own.take(pieces.indices).buffers()
+        edges = np.frombuffer(starts, np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
-        cut, folded_words, other_words = [], set(), set()
-        for text in texts:
+        whole: tuple[list[str], list[str]] = ([], [])
+        places: tuple[list[int], list[int]] = ([], [])
+        for place, text in enumerate(texts):
             text = text or ""
             lower = text.lower()
-            folded = self.folds and (text.isascii() or not UNUSUAL.search(text)) and not any(m in lower for m in self.marked)
-            words = (lower if folded else text).replace("\n", " ").split(" ")
-            cut.append(words)
-            (folded_words if folded else other_words).update(words)
-        for words, folded in ((folded_words, True), (other_words, False)):
-            if missing := words.difference(self.known):
-                self.learn(missing, folded)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        if len(self.known) >= CACHED_WORDS:
-            self.known, self.old = {}, self.known
+            folded = self.folds and (text.isascii() or not UNUSUAL.search(text)) and not (self.marks and self.marks.search(lower))
+            whole[folded].append((lower if folded else text).replace("\n", " "))
+            places[folded].append(place)
+        out = [b""] * len(texts)
+        for folded in (False, True):
+            if whole[folded]:
+                for place, ids in zip(places[folded], self.encode_cut(whole[folded], folded), strict=True):
+                    out[place] = ids
         return out
 
 
@@ -209,7 +232,8 @@ def encode_words(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "
 
         return work
 
-    return map_texts(docs, make, [("n_tokens", LongType()), ("ids", BinaryType())], id_col, text_col)
+    cut = partial(slices_of_bytes, most=SLICE_BYTES)
+    return map_texts(docs, make, [("n_tokens", LongType()), ("ids", BinaryType())], id_col, text_col, cut)
 
 
 # --- files ------------------------------------------------------------------

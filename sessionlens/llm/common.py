@@ -13,7 +13,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -52,17 +54,31 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def slices_of_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose second column holds about ``most`` bytes (one row at least)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list], list[tuple]]],
     fields: list[tuple[str, DataType]],
     id_col: str = "doc_id",
     text_col: str = "text",
+    cut: Callable = slices,
 ) -> DataFrame:
     """One output row per document: its id and the fields computed from its text.
 
     ``make()`` runs once per task and returns a function from a list of texts
-    (None where null) to a list of tuples, one per text, in the order of ``fields``.
+    (None where null) to a list of tuples, one per text, in the order of ``fields``;
+    ``cut`` cuts the Arrow batches into the slices of which it gets the texts.
     """
     src = id_and_text(docs, id_col, text_col)
     schema = StructType([src.schema["doc_id"], *[StructField(n, t) for n, t in fields]])
@@ -71,7 +87,7 @@ def map_texts(
 
     def run(batches):
         work = make()
-        for part in slices(batches):
+        for part in cut(batches):
             columns = list(zip(*work(part.column(1).to_pylist()), strict=True))
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=names)
