@@ -10,7 +10,9 @@ place in the stretch).  Overlapping stretches of one item are verified once.
 
 Items are read in blocks of about ``block_chars`` characters; the documents are
 scanned once for each block (normally one), so a task holds one block's
-automaton and one slice of texts.  There is no shuffle of documents.
+automaton and one slice of texts, and the driver one block at a time: beyond one
+block, what a block finds is written to the shared folder before the next is
+read.  There is no shuffle of documents.
 
 Items of fewer than ``min_words`` words are too short to tell a copy from
 ordinary speech and match nothing, like null and empty items; null and empty
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from sessionlens.llm.common import id_and_text, kept_by_worker, slices
+from sessionlens.llm.common import id_and_text, kept_by_worker, slices, written
 
 WORD = re.compile(r"\w+")
 
@@ -131,15 +134,19 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int):
-    """The items in blocks of about ``block_chars`` characters: lists of (item_id, text), one block at a time."""
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The items in blocks of about ``block_chars`` characters: how many, and one block of (item_id, text) after the other."""
     src = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     total = src.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
-    block = F.pmod(F.xxhash64("text"), F.lit(n))
-    for k in range(n):
-        rows = src.filter(block == k).distinct().toLocalIterator() if n > 1 else src.distinct().toLocalIterator()
-        yield sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0], r[1]))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))  # copies of a text under many ids spread, too
+
+    def blocks():
+        for k in range(n):
+            rows = (src.filter(block == k) if n > 1 else src).distinct().toLocalIterator()
+            yield sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0], r[1]))
+
+    return n, blocks()
 
 
 def contaminated(
@@ -160,7 +167,8 @@ def contaminated(
     schema = StructType([src.schema["doc_id"], ids, *numbers, StructField("score", DoubleType())])
     arrow = to_arrow_schema(schema).types
     found = []
-    for block in item_blocks(items, item_id, item_text, block_chars):
+    n_blocks, blocks = item_blocks(items, item_id, item_text, block_chars)
+    for block in blocks:
         words = [(n, w) for n, (_, text) in enumerate(block) if len(w := words_of(text)) >= min_words]
         sent = docs.sparkSession.sparkContext.broadcast((words, [i for i, _ in block], error_rate))
         key = "items " + hashlib.sha256(repr((words, error_rate)).encode()).hexdigest()
@@ -177,7 +185,11 @@ def contaminated(
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=schema.names)
 
-        found.append(src.mapInArrow(run, schema))
+        rows = src.mapInArrow(run, schema)
+        if n_blocks > 1:  # one block at a time in the memory of driver and workers
+            rows = written(rows, "found-items")
+            sent.destroy()
+        found.append(rows)
     return reduce(DataFrame.union, found)
 
 
@@ -185,17 +197,28 @@ def without_contaminated(
     docs: DataFrame, items: DataFrame, error_rate: float = 0.2, min_words: int = 8, block_chars: int = 2_000_000, text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` (all columns) in whose text no item is found."""
+    """The rows of ``docs`` (all columns) in whose text no item is found.
+
+    Beyond one block of items the rows are numbered and written, each block writes
+    the numbers of the rows it is found in, and an anti join takes these out.
+    """
+    n_blocks, blocks = item_blocks(items, item_id, item_text, block_chars)
+    if n_blocks > 1:
+        number = "row_number"
+        while number in docs.columns:
+            number += "_"
+        numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+        found = contaminated(numbered, items, error_rate, min_words, block_chars, number, text_col, item_id, item_text)
+        found = found.select(F.col("doc_id").alias(number)).distinct()
+        return numbered.join(found, number, "left_anti").select(*docs.columns)
     at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_id, item_text, block_chars):
-        words = [(n, w) for n, (_, text) in enumerate(block) if len(w := words_of(text)) >= min_words]
-        sent = docs.sparkSession.sparkContext.broadcast((words, error_rate))
-        key = "items " + hashlib.sha256(repr((words, error_rate)).encode()).hexdigest()
+    words = [(n, w) for n, (_, text) in enumerate(next(blocks)) if len(w := words_of(text)) >= min_words]
+    sent = docs.sparkSession.sparkContext.broadcast((words, error_rate))
+    key = "items " + hashlib.sha256(repr((words, error_rate)).encode()).hexdigest()
 
-        def run(batches, sent=sent, key=key):
-            index = kept_by_worker(key, lambda: ItemIndex(*sent.value))
-            for part in slices(batches):
-                yield part.filter(pa.array([not index.matches(t) for t in part.column(at).to_pylist()], pa.bool_()))
+    def run(batches):
+        index = kept_by_worker(key, lambda: ItemIndex(*sent.value))
+        for part in slices(batches):
+            yield part.filter(pa.array([not index.matches(t) for t in part.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -61,8 +61,9 @@ def test_contaminated_equals_brute_force(spark):
     for block_chars in (2_000_000, 150):
         got = decontam.contaminated(frame, asked, block_chars=block_chars).collect()
         assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want) > 20
-        left = decontam.without_contaminated(frame, asked, block_chars=block_chars)
+        left = decontam.without_contaminated(frame.withColumn("row_number", F.lit("other")), asked, block_chars=block_chars)
         assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
+        assert left.columns == [*frame.columns, "row_number"]
 
 
 # --- token files ------------------------------------------------------------
