@@ -147,25 +147,19 @@ def silhouette_sq_euclidean(df: DataFrame, cols: list[str], label_col: str,
             dot = t if dot is None else dot + t
         return F.col("_sqn") + F.lit(r["Q"] / r["W"]) - F.lit(2.0) * dot / F.lit(r["W"])
 
-    dists = {r["_l"]: mean_dist(r) for r in clusters}
-    weights = {r["_l"]: r["W"] for r in clusters}
-    own = None
-    other = None
-    own_w = None
-    for lab in dists:
-        a = dists[lab] * F.lit(weights[lab]) / (F.lit(weights[lab]) - F.col("_w"))
-        own = F.when(F.col("_l") == lab, a) if own is None else own.when(F.col("_l") == lab, a)
-        own_w = F.when(F.col("_l") == lab, F.lit(weights[lab])) if own_w is None else own_w.when(F.col("_l") == lab, F.lit(weights[lab]))
-        others = [dists[o] for o in dists if o != lab]
-        b = others[0] if len(others) == 1 else F.least(*others)
-        other = F.when(F.col("_l") == lab, b) if other is None else other.when(F.col("_l") == lab, b)
+    # the k distances of a point once, as an array; its own cluster by place, the others by their least
+    place = F.array_position(F.array(*[F.lit(r["_l"]) for r in clusters]), F.col("_l")).cast("int")
+    pts = pts.select("_w", place.alias("_k"), F.array(*[mean_dist(r) for r in clusters]).alias("_d"))
+    pts = pts.withColumn("_cw", F.element_at(F.array(*[F.lit(float(r["W"])) for r in clusters]), F.col("_k")))
+    own = F.element_at("_d", F.col("_k")) * F.col("_cw") / (F.col("_cw") - F.col("_w"))
+    other = F.array_min(F.transform("_d", lambda d, i: F.when(i + 1 != F.col("_k"), d)))
     s = (
         F.when(F.col("_cw") == F.col("_w"), F.lit(0.0))
         .when(F.col("_a") < F.col("_b"), F.lit(1.0) - F.col("_a") / F.col("_b"))
         .when(F.col("_a") > F.col("_b"), F.col("_b") / F.col("_a") - F.lit(1.0))
         .otherwise(F.lit(0.0))
     )
-    per_point = pts.select("_w", own_w.alias("_cw"), own.alias("_a"), other.alias("_b")).select(
+    per_point = pts.select("_w", "_cw", own.alias("_a"), other.alias("_b")).select(
         "_w", s.alias("_s")
     )
     return per_point.agg((F.sum(F.col("_s") * F.col("_w")) / F.sum("_w")).alias("silhouette"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from sessionlens.operators import bootstrap, cleaning, conversion, features, labels, paths, quality, segments, sessions, stability
+from sessionlens.session import ensure_checkpoint_dir
 from sessionlens.sources import driver_tables as dt, text_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,12 @@ def user_features_of(spark, sf):
     ).user_features
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """A user-level table that several jobs read: written once (checkpoint), so the events are derived once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def m_events_labeled(spark, sf):
     ev = cleaning.clean_events(dt.monthly_events(spark, sf))
     return labels.add_labels(ev, items_first(spark, sf), dt.PART_CATEGORY_MAP).events
@@ -94,13 +101,12 @@ def _jout(j):
 
 
 def zscores(spark, sf):
-    uf = user_features_of(spark, sf)
+    uf = written_once(user_features_of(spark, sf))
     return segments.standardize(uf, segments.feature_columns(uf))
 
 
 def _labelled_z(spark, sf):
-    z = zscores(spark, sf)
-    return z.join(assignments_of(spark, sf), "user_id")
+    return written_once(zscores(spark, sf).join(assignments_of(spark, sf), "user_id"))
 
 
 def _nearest(spark, sf):
@@ -206,7 +212,7 @@ def q_m_journeys(spark, sf):
 
 # ------------------------------------------------------------------ modelling (rows-only checks)
 def _segmentation(spark, sf, **kw):
-    uf = user_features_of(spark, sf)
+    uf = written_once(user_features_of(spark, sf))
     return segments.segment_users(uf, segments.feature_columns(uf), **kw)
 
 
@@ -219,7 +225,7 @@ def q_k_selection(spark, sf):
 
 
 def q_bootstrap(spark, sf):
-    uf = user_features_of(spark, sf)
+    uf = written_once(user_features_of(spark, sf))
     res = segments.segment_users(uf, segments.feature_columns(uf), k_range=range(3, 8))
     return bootstrap.bootstrap_stability(uf, res.assignments, res.feature_columns, res.chosen_k)
 
@@ -244,10 +250,9 @@ def q_pipeline(spark, sf):
 
 def q_lloyd_step(spark, sf):
     """Centres after one k-means step from the means of the deterministic segments."""
-    z = zscores(spark, sf)
-    moved = z.join(q_nearest(spark, sf).select("user_id", "segment_id"), "user_id")
+    moved = _nearest(spark, sf)
     return moved.groupBy("segment_id").agg(
-        F.count(F.lit(1)).alias("n_users"), *[F.avg(c).alias(c) for c in segments.feature_columns(z)])
+        F.count(F.lit(1)).alias("n_users"), *[F.avg(c).alias(c) for c in segments.feature_columns(moved)])
 
 
 MIN_SESSIONS = 7  # leaves some users of every table unclustered
@@ -255,7 +260,7 @@ MIN_SESSIONS = 7  # leaves some users of every table unclustered
 
 def q_kmeans_invariants(spark, sf):
     """One row of truths that hold for any right k-means segmentation, whatever its labels."""
-    uf = user_features_of(spark, sf)
+    uf = written_once(user_features_of(spark, sf))
     cols = segments.feature_columns(uf)
     res = segments.segment_users(uf, cols, min_sessions=MIN_SESSIONS, renumber_segments=False, k_range=range(2, 6), n_init=5)
     eligible = uf.where(F.col("n_sessions") >= MIN_SESSIONS)
@@ -295,7 +300,7 @@ def q_conversion_idle(spark, sf):
 
 def q_standardized_infinite(spark, sf):
     """Standard scores where some features are infinite or not a number."""
-    uf = user_features_of(spark, sf)
+    uf = written_once(user_features_of(spark, sf))
     odd = uf.withColumn("mean_session_duration", F.when(F.col("user_id") % 5 == 0, float("inf"))
                         .when(F.col("user_id") % 7 == 0, float("nan")).when(F.col("user_id") % 11 == 0, float("-inf"))
                         .otherwise(F.col("mean_session_duration")))
