@@ -12,7 +12,9 @@ in one global order, rarest in the whole corpus first; then
 
 What is left is verified by intersection, so the join is exact.  Blocks are the
 lines of a text; a line of more than ``block_words`` words is cut into windows
-of that many words, each half overlapping the next.  Templates are a parameter
+of that many words, each half overlapping the next.  The same windows over the
+words of the whole text, regardless of line feeds, are blocks where they reach
+over one: they hold notices that are wrapped or stand in comments.  Templates are a parameter
 held by the driver, so their index is small and every task gets a copy; the
 documents are scanned twice (token counts, join) and never shuffled.
 
@@ -130,6 +132,18 @@ def block_bounds(line_ends: list[int], block_words: int) -> list[tuple[int, int]
     return out
 
 
+def blocks_around(places: list[int], bounds: list[tuple[int, int]]) -> list[int]:
+    """The numbers of the blocks that hold one of the words."""
+    starts = [a for a, _ in bounds]
+    picked: set[int] = set()
+    for p in places:
+        k = bisect_right(starts, p) - 1
+        while k >= 0 and (bounds[k][1] > p or bounds[k][0] == bounds[k][1]):  # a word lies in two windows at most
+            picked.add(k)
+            k -= 1
+    return sorted(picked)
+
+
 def scan(text: str | None, index: TemplateIndex, block_words: int) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks) of one text."""
     words: list[bytes] = []
@@ -155,19 +169,23 @@ def scan(text: str | None, index: TemplateIndex, block_words: int) -> tuple:
     labels, score, n_blocks = set(base), 0.0, 0
     anchors = np.flatnonzero(index.in_prefix[ranks])
     if anchors.size:
+        places_of = anchors.tolist()
+        met: set[int] = set()
         bounds = block_bounds(ends, block_words)
-        starts = [a for a, _ in bounds]
-        picked: set[int] = set()
-        for p in anchors.tolist():
-            k = bisect_right(starts, p) - 1
-            while k >= 0 and (bounds[k][1] > p or bounds[k][0] == bounds[k][1]):  # a word lies in two windows at most
-                picked.add(k)
-                k -= 1
-        for k in sorted(picked):
+        for k in blocks_around(places_of, bounds):
             if found := index.matches(ranks[slice(*bounds[k])]):
                 n_blocks += 1
-                labels |= {index.templates[t][0] for t, _ in found}
+                met |= {t for t, _ in found}
+                score = max(score, max(c for _, c in found))
+        windows = block_bounds([len(words)], block_words)
+        in_lines = frozenset(met)
+        for k in blocks_around(places_of, windows):
+            start, end = windows[k]
+            if ends[bisect_right(ends, start)] < end and (found := index.matches(ranks[start:end])):
+                n_blocks += any(t not in in_lines for t, _ in found)  # else the notice stands in a line, too
+                met |= {t for t, _ in found}
                 score = max(score, max(c for _, c in found))
+        labels |= {index.templates[t][0] for t in met}
     first = min((int(p[0]) for p in places), default=None)
     last = max((int(p[-1]) for p in places), default=None)
     return len(words), sum(p.size for p in places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, n_blocks
@@ -185,7 +203,8 @@ def license_report(
     """One row per document: base phrase places, labels of phrases and templates, best containment.
 
     ``block_words`` must be at least twice the words of the longest template, so
-    that a contiguous copy of a template always lies in one block.
+    that a contiguous copy of a template always lies in one block, also when it is
+    wrapped over several lines or has comment signs in front of them.
     """
     longest = max((sum(map(len, lines_of_words(text))) for _, text in templates), default=0)
     if block_words < 2 * longest:

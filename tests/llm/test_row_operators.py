@@ -182,6 +182,20 @@ def test_long_lines_are_cut_into_overlapping_blocks():
         assert all(any(a <= i and i + 64 <= b for a, b in bounds) for i in range(max(0, n - 63)))
 
 
+def test_wrapped_notices_are_found():
+    index = licenses.TemplateIndex(licenses.TEMPLATES, licenses.PHRASES, {}, 0.9)
+    label_of = lambda text: set(licenses.scan(text, index, 128)[5].split(","))
+    for label, notice in licenses.TEMPLATES:
+        words = notice.split()
+        for width in (1, 4, 10):
+            for sign in ("", "# ", " * "):
+                wrapped = "\n".join(sign + " ".join(words[k : k + width]) for k in range(0, len(words), width))
+                for before in (0, 60, 100, 500):
+                    assert label in label_of("other words\n" * before + wrapped + "\nother words" * 300), (label, width, sign, before)
+    assert label_of("other words\n" * 500) == {""}
+    assert licenses.scan("x\nReleased under the MIT License\ny", index, 128)[7] == 1
+
+
 # --- secrets ----------------------------------------------------------------
 
 SECRETS = [
