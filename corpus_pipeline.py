@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm import bpe, decontam, quality, secrets, simhash
-from sessionlens.llm.common import shared_path
+from sessionlens.llm.common import shared_path, written
 from sessionlens.llm.queries import byte_bpe, table
 
 
@@ -22,18 +22,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each class of near duplicates the document with the smallest doc_id stays.
+    """Operator 5: of each class of near duplicates one row stays: of the smallest doc_id, nulls last, then the first.
 
-    Of several rows with that doc_id one stays; rows without a doc_id stay.  Only
-    ids are joined, so texts are shuffled only where the lost ids are too many to
-    broadcast, and for the few ids that repeat.
+    Rows are numbered and written, and each is judged by its own text: repeated
+    and null doc_ids are no exception.  Only the numbers of the lost rows are
+    joined, so texts are shuffled only where these are too many to broadcast.
     """
-    classes = simhash.near_duplicates(docs).filter("doc_id is not null")
-    lost = classes.filter("doc_id <> component_id").select("doc_id")
-    repeated = classes.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    single = docs.join(lost.union(repeated).distinct(), "doc_id", "left_anti")
-    first = docs.join(repeated.join(lost, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).union(first.select(*docs.columns))
+    number, key = "row_number", "row_key"
+    while number in docs.columns or key in docs.columns:
+        number, key = number + "_", key + "_"
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(number).alias("number"))
+    classes = simhash.near_duplicates(numbered.select(order.alias(key), "text"), id_col=key)
+    lost = classes.filter("doc_id.number <> component_id.number").select(F.col("doc_id.number").alias(number))
+    return numbered.join(lost, number, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -274,3 +274,20 @@ def test_stages_keep_columns_and_stand_edges(spark, edge_docs, no_docs):
             assert out.count() <= source.count()
     kept = corpus_pipeline.near_dedup(spark, docs, SF)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
+
+
+def test_near_dedup_decides_per_row(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choices([f"w{k}" for k in range(500)], k=80)) for _ in range(5))
+    near = lambda rows: sorted(
+        [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, row_number string"), SF).collect()],
+        key=lambda r: (r[0] is None, r),
+    )
+    n = "other"
+    # an id on rows of two classes: each class keeps its row of the smallest id
+    assert near([(1, b, n), (3, b, n), (3, a, n), (5, a, n)]) == sorted([(1, b), (3, a)])
+    # different clean texts under one id stay, also beside a copy
+    assert near([(1, a, n), (2, a, n), (2, b, n), (4, c, n), (4, d, n)]) == sorted([(1, a), (2, b), (4, c), (4, d)])
+    # rows without an id are compared like others, and go for a row with an id
+    assert near([(None, a, n)] * 20 + [(None, b, n), (7, b, n), (None, c, n)]) == sorted([(7, b)]) + sorted([(None, a), (None, c)])
+    assert near([(6, e, n)] * 3) == [(6, e)]
