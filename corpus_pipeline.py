@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that hold a benchmark item go."""
-    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,14 @@ automaton and one slice of texts, and the driver one block at a time: beyond one
 block, what a block finds is written to the shared folder before the next is
 read.  There is no shuffle of documents.
 
-Items of fewer than ``min_words`` words are too short to tell a copy from
-ordinary speech and match nothing, like null and empty items; null and empty
-texts match nothing.  Repeated items count as one each under their item_id;
+Words are runs of word characters; in scripts that write no blanks between words
+(Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is a word.  In items
+of fewer than ``min_words`` words an edit leaves too little to tell a copy from
+ordinary speech: with ``short_items`` they are found where all their words stand
+consecutively, those of fewer than ``ALONE_BELOW`` words only where they stand by
+themselves, between ends of sentences, lines, quotations or brackets; without it
+they match nothing.  Null items and items without a word match nothing; null and
+empty texts match nothing.  Repeated items count as one each under their item_id;
 repeated rows are matched row by row.  Empty tables give an empty result.
 """
 
@@ -37,7 +42,17 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from sessionlens.llm.common import id_and_text, kept_by_worker, slices, written
 
-WORD = re.compile(r"\w+")
+#: Characters of scripts without blanks between words: Han, kana, Thai, Lao, Burmese, Khmer.
+UNSPACED = (
+    "\u3005\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u3041-\u3096\u3099\u309a\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff"
+    "\u31f0-\u31ff\uff66-\uff9f\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u0edc-\u0edf\u1000-\u103f\u1050-\u109f\u1780-\u17d3"
+)
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
+
+#: Short items of fewer words must stand by themselves.
+ALONE_BELOW = 5
+#: Between two words: the end of a sentence, line, quotation or bracket.
+BREAK = re.compile(r"""[\n\r\t|()\[\]{}<>"\u201c\u201d\u201e\xab\xbb\u2026\u3002\uff01\uff1f\uff1a\uff1b\u300c\u300d]|[.!?:;]+[\s'\u2019*_]""")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -82,13 +97,29 @@ def best_match(pattern: list, text: list) -> tuple[int, int, int]:
     return d, end - max(x for x in lengths if x <= len(pattern) + d), end
 
 
+class Breaks:
+    """Where a run of words of a text stands by itself."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text.lower()
+        self.spans = [m.span() for m in WORD.finditer(self.text)]
+
+    def between(self, k: int) -> bool:
+        """Whether a sentence, line, quotation or bracket ends before word ``k``."""
+        return k in (0, len(self.spans)) or bool(BREAK.search(self.text[self.spans[k - 1][1] : self.spans[k][0]]))
+
+    def alone(self, first: int, end: int) -> bool:
+        return self.between(first) and self.between(end)
+
+
 class ItemIndex:
     """The automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], error_rate: float) -> None:
-        """``items``: (number, words)."""
+    def __init__(self, items: list[tuple[int, list[str]]], error_rate: float, min_words: int = 0) -> None:
+        """``items``: (number, words); those of fewer than ``min_words`` words are found as whole copies only."""
         self.items = dict(items)
-        self.budget = {n: int(error_rate * len(words) + 1e-9) for n, words in items}
+        self.short = {n for n, words in items if len(words) < min_words}
+        self.budget = {n: 0 if n in self.short else int(error_rate * len(words) + 1e-9) for n, words in items}
         found: dict[str, list[tuple[int, int]]] = {}
         for n, words in items:
             for place, run in pieces(words, self.budget[n]):
@@ -112,13 +143,23 @@ class ItemIndex:
         words = line.split()
         at = np.searchsorted(blanks, [start for start, _ in hits])
         stretches: dict[int, list[list[int]]] = {}
+        copies: dict[int, tuple[int, int]] = {}
+        breaks = None
         for word, (_, owners) in zip(at.tolist(), hits, strict=True):
             for n, place in owners:
+                if n in self.short:
+                    if n not in copies:
+                        end = word + len(self.items[n])
+                        if len(self.items[n]) < ALONE_BELOW:
+                            breaks = breaks or Breaks(text)
+                        if len(self.items[n]) >= ALONE_BELOW or breaks.alone(word, end):
+                            copies[n] = word, end
+                    continue
                 k = self.budget[n]
                 low, high = max(0, word - place - k), min(len(words), word - place + len(self.items[n]) + k)
                 own = stretches.setdefault(n, [])
                 own.append([low, high])
-        out = []
+        out = [(n, 0, a, b) for n, (a, b) in copies.items()]
         for n, own in stretches.items():
             own.sort()
             merged: list[list[int]] = []
@@ -149,6 +190,11 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int
     return n, blocks()
 
 
+def searched(block: list[tuple], min_words: int, short_items: bool) -> list[tuple[int, list[str]]]:
+    """(number, words) of the items of a block that are searched."""
+    return [(n, w) for n, (_, text) in enumerate(block) if len(w := words_of(text)) >= (1 if short_items else min_words)]
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -159,6 +205,7 @@ def contaminated(
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    short_items: bool = False,
 ) -> DataFrame:
     """One row per document row and item found in it: distance, item words, first and end word, score."""
     src = id_and_text(docs, id_col, text_col)
@@ -169,13 +216,13 @@ def contaminated(
     found = []
     n_blocks, blocks = item_blocks(items, item_id, item_text, block_chars)
     for block in blocks:
-        words = [(n, w) for n, (_, text) in enumerate(block) if len(w := words_of(text)) >= min_words]
-        sent = docs.sparkSession.sparkContext.broadcast((words, [i for i, _ in block], error_rate))
-        key = "items " + hashlib.sha256(repr((words, error_rate)).encode()).hexdigest()
+        words = searched(block, min_words, short_items)
+        sent = docs.sparkSession.sparkContext.broadcast((words, [i for i, _ in block], error_rate, min_words))
+        key = "items " + hashlib.sha256(repr((words, error_rate, min_words)).encode()).hexdigest()
 
         def run(batches, sent=sent, key=key):
-            words, names, rate = sent.value
-            index = kept_by_worker(key, lambda: ItemIndex(words, rate))
+            words, names, rate, least = sent.value
+            index = kept_by_worker(key, lambda: ItemIndex(words, rate, least))
             for part in slices(batches):
                 rows = [
                     (doc, names[n], d, len(index.items[n]), a, b, 1 - d / len(index.items[n]))
@@ -195,7 +242,7 @@ def contaminated(
 
 def without_contaminated(
     docs: DataFrame, items: DataFrame, error_rate: float = 0.2, min_words: int = 8, block_chars: int = 2_000_000, text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", short_items: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` (all columns) in whose text no item is found.
 
@@ -208,13 +255,13 @@ def without_contaminated(
         while number in docs.columns:
             number += "_"
         numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
-        found = contaminated(numbered, items, error_rate, min_words, block_chars, number, text_col, item_id, item_text)
+        found = contaminated(numbered, items, error_rate, min_words, block_chars, number, text_col, item_id, item_text, short_items)
         found = found.select(F.col("doc_id").alias(number)).distinct()
         return numbered.join(found, number, "left_anti").select(*docs.columns)
     at = docs.columns.index(text_col)
-    words = [(n, w) for n, (_, text) in enumerate(next(blocks)) if len(w := words_of(text)) >= min_words]
-    sent = docs.sparkSession.sparkContext.broadcast((words, error_rate))
-    key = "items " + hashlib.sha256(repr((words, error_rate)).encode()).hexdigest()
+    words = searched(next(blocks), min_words, short_items)
+    sent = docs.sparkSession.sparkContext.broadcast((words, error_rate, min_words))
+    key = "items " + hashlib.sha256(repr((words, error_rate, min_words)).encode()).hexdigest()
 
     def run(batches):
         index = kept_by_worker(key, lambda: ItemIndex(*sent.value))

@@ -66,6 +66,22 @@ def test_contaminated_equals_brute_force(spark):
         assert left.columns == [*frame.columns, "row_number"]
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    items = [(1, "What is the capital of France?"), (2, "Who wrote Hamlet?"), (3, "Yes"), (4, "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e00\u5ea7\u57ce\u5e02\uff1f"), (5, "?!"), (6, None)]
+    docs = [
+        (1, "they ask what is the CAPITAL of France, and so on"), (2, "what is the old capital of France"), (3, "Q: who wrote Hamlet? A: Shakespeare"),
+        (4, "a book on who wrote Hamlet and when"), (5, "He said: yes."), (6, "oh yes it is"), (7, "\u8bf7\u95ee\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e00\u5ea7\u57ce\u5e02\u5462"), (8, "\u4e2d\u56fd\u7684\u57ce\u5e02"),
+        (9, "oh yes it is\nYes\n"), (10, "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u90a3\u4e00\u5ea7\u57ce\u5e02"), (11, "version 3.yes.4"),
+    ]
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 0), (3, 2, 0), (5, 3, 0), (7, 4, 0), (9, 3, 0), (10, 4, 1)}
+    for block_chars in (2_000_000, 20):
+        got = decontam.contaminated(frame, asked, block_chars=block_chars, short_items=True).collect()
+        assert {(r.doc_id, r.item_id, r.distance) for r in got} == want and len(got) == len(want)
+        left = decontam.without_contaminated(frame, asked, block_chars=block_chars, short_items=True)
+        assert {r.doc_id for r in left.collect()} == {2, 4, 6, 8, 11}
+
+
 # --- token files ------------------------------------------------------------
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
