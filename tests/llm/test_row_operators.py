@@ -128,6 +128,19 @@ def test_pii_kinds_beyond_the_base():
     assert not [s for s in pii.Scanner().spans("IBAN: GB83 WEST 1234 5698 7654 32") if s[0] == "iban"]
 
 
+def test_pii_cues_lists_and_bare_ibans():
+    spans = lambda text, kind: [text[a:b] for k, a, b in pii.Scanner().spans(text) if k == kind]
+    assert spans("Social security number: 123-45-6789", "ssn") == ["123-45-6789"]
+    assert spans("é sOCIAL Security 123-45-6789", "ssn") == ["123-45-6789"]
+    assert spans("accounts 12345678 and 87654321, 11223344 and 99887766.", "account") == ["12345678", "87654321", "11223344", "99887766"]
+    good = "GB82 WEST 1234 5698 7654 32"
+    assert spans(f"IBAN GB83 WEST 1234 5698 7654 32 or {good}", "iban") == [good]
+    assert spans(f"pay to {good} BIC ABCD, or DE89370400440532013000", "iban") == [good, "DE89370400440532013000"]
+    assert spans("pay to GB83 WEST 1234 5698 7654 32", "iban") == []
+    assert spans("0" * 5000 + "1.1.1.1", "ip") == ["0" * 5000 + "1.1.1.1"]
+    assert spans("0" * 5000 + "1256.1.1.1", "ip") == []
+
+
 # --- licenses ---------------------------------------------------------------
 
 
