@@ -1,65 +1,48 @@
 """Bootstrap stability of a segmentation: refit k-means on resamples, compare by ARI.
 
-Resampling with replacement is expressed as a Poisson(frac) draw count per
-(user, run): the MD5 of "user_id:run:seed" gives a uniform number, and the
-inverse Poisson CDF turns it into a count, so any engine can repeat the draws.  The counts are the same under any
-partitioning or retry (no ``rand()``), every run is one weighted MLlib fit
-over the same cached vectors, and the agreement with the baseline labels is
-a weighted contingency table (each drawn copy counts once).  The sample size
-is Poisson around frac * N instead of exactly floor(frac * N).
+A sample is exactly ``floor(frac * N)`` draws with replacement: draw ``j`` of a run
+takes the user of number ``floor(u * N)``, with ``u`` from the MD5 of "run:j:seed", so
+any engine, partitioning or retry draws the same.  Draws are counted per user
+(every run a place of one array) and weigh the users in the fits: all runs and
+seeds are fitted in the same passes over the users (``operators.kmeans``).
+Agreement with the baseline labels is a weighted contingency table per run: each
+drawn copy counts once.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sessionlens.schema import assert_unique
-from sessionlens.operators.segments import fit_best_kmeans, reliable, standardize, vectors
+from sessionlens.functions.hashing import hash_uniform
+from sessionlens.functions.numbering import numbered
+from sessionlens.operators.kmeans import Model, best_fits, cached, fit_models, sampled_silhouettes, with_labels
+from sessionlens.operators.segments import points_of, standardize
 from sessionlens.operators.stability import adjusted_rand_index
+from sessionlens.schema import assert_unique
+from sessionlens.session import remove_written, written
 
-#: Leading hexadecimal digits of the hash that make the uniform number (52 bits: exact in a double).
-HASH_DIGITS = 13
-#: Largest draw count of a user that the inverse CDF covers; a share that needs more is refused.
-MAX_DRAWS = 200
-
-
-def hash_uniform(*cols: Column) -> Column:
-    """Deterministic uniform [0, 1) from the MD5 of the columns' texts, joined by colons."""
-    digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** HASH_DIGITS))
-
-
-def poisson_thresholds(lam: float, tail: float = 1e-15) -> list[float]:
-    """Cumulative Poisson(lam) probabilities P(X <= k) until the tail is negligible."""
-    out, p, cdf, k = [], math.exp(-lam), 0.0, 0
-    while True:
-        cdf += p
-        out.append(cdf)
-        if 1.0 - cdf < tail:
-            return out
-        if k > MAX_DRAWS:
-            raise ValueError(f"a sample share of {lam} needs more than {MAX_DRAWS} draw counts per user")
-        k += 1
-        p *= lam / k
+#: Points of each cluster that stand for it in a run's silhouette.
+ANCHORS_PER_CLUSTER = 64
 
 
-def poisson_draws(u: Column, lam: float) -> Column:
-    """Inverse CDF: the number of thresholds the uniform value exceeds."""
-    total = None
-    for t in poisson_thresholds(lam):
-        term = (u > F.lit(t)).cast("int")
-        total = term if total is None else total + term
-    return total
+def exact_draws(n_rows: int, runs: int, sample_frac: float, seed: int, spark) -> DataFrame:
+    """``row`` and ``w``: how often each row number below ``n_rows`` is drawn in each run (rows of no draw are left out)."""
+    n = math.floor(sample_frac * n_rows)
+    if n < 1:
+        raise ValueError(f"a share of {sample_frac} of {n_rows} users is no user")
+    draws = spark.range(runs * n).select(F.expr(f"id div {n}").alias("run0"), (F.col("id") % n).alias("j"))
+    u = hash_uniform(F.col("run0") + 1, F.col("j"), F.lit(seed))
+    row = F.least(F.floor(u * F.lit(float(n_rows))), F.lit(n_rows - 1)).cast("long")
+    counts = [F.count_if(F.col("run0") == r).cast("int") for r in range(runs)]
+    return draws.select("run0", row.alias("row")).groupBy("row").agg(F.array(*counts).alias("w"))
 
 
-def draw_counts(user: Column, run: Column, seed: int, sample_frac: float) -> Column:
-    """How often a user is drawn into the sample of a run."""
-    return poisson_draws(hash_uniform(user, run, F.lit(seed)), sample_frac)
+def drawn_users(users: DataFrame, runs: int, sample_frac: float, seed: int, id_col: str = "user_id") -> DataFrame:
+    """``users`` (one row each) with ``w``, the draws of each run; users who are never drawn are left out."""
+    rows, n = numbered(users, [id_col])
+    return rows.join(exact_draws(n, runs, sample_frac, seed, users.sparkSession), "row").drop("row")
 
 
 def bootstrap_stability(
@@ -73,35 +56,30 @@ def bootstrap_stability(
     n_init: int = 20,
     max_iter: int = 300,
     id_col: str = "user_id",
-    parallelism: int = 8,
 ) -> DataFrame:
-    """Rows (run, ari_vs_baseline, silhouette), one per bootstrap run.
+    """Rows (run, ari_vs_baseline, silhouette, silhouette_error), one per bootstrap run.
 
     Users with a baseline label (including -1) are standardised once on the
-    whole population; every run refits k-means with seed ``seed + run``.
+    whole population; every run refits k-means from the seeds ``seed + run`` on, the
+    best of ``n_init``.  The silhouette is Euclidean, over anchors of each cluster,
+    with its standard error; a run with one cluster has none (not a number).
     """
     spark = user_features.sparkSession
     labels = assignments.select(id_col, F.col("segment_id").cast("int").alias("segment_id"))
     base = user_features.join(assert_unique(labels, [id_col], "assignments"), id_col, "inner").where(F.col("segment_id").isNotNull())
-    scaled = reliable(standardize(base, features, keep=[id_col, "segment_id"]))
-    vec = vectors(scaled, features, [id_col, "segment_id"]).persist(StorageLevel.MEMORY_AND_DISK)
-    def one_run(run: int):
-        w = draw_counts(F.col(id_col), F.lit(run), seed, sample_frac)
-        # one copy of the run's sample for all its fits and predictions, released after them
-        sample = vec.withColumn("w", w.cast("double")).where(F.col("w") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-        model, _ = fit_best_kmeans(sample, chosen_k, seed + run, n_init, max_iter, weight_col="w", parallelism=1)
-        preds = model.transform(sample)
-        ari = adjusted_rand_index(preds, "segment_id", "prediction", weight_col="w").first()["ari"]
-        if preds.select("prediction").distinct().limit(2).count() > 1:
-            sil = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", weightCol="w").evaluate(preds)
-        else:
-            sil = float("nan")
-        sample.unpersist()
-        return (run, float(ari), float(sil))
-
-    # runs are independent jobs over the same cached vectors: submit a few at once
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(one_run, range(1, runs + 1)))
-    vec.unpersist()
-    scaled.unpersist()
-    return spark.createDataFrame(rows, "run int, ari_vs_baseline double, silhouette double")
+    scaled = standardize(written(base.select(id_col, "segment_id", *features), "bootstrap-users"), features, keep=[id_col, "segment_id"])
+    drawn = drawn_users(points_of(scaled, features, id_col, ["segment_id"]), runs, sample_frac, seed, "id")
+    stored = written(drawn, "bootstrap-points")
+    points = cached(stored)
+    models = [Model(chosen_k, seed + run + i, run - 1) for run in range(1, runs + 1) for i in range(n_init)]
+    best = best_fits(fit_models(points, models, max_iter), lambda m: m.weight)
+    labelled = cached(with_labels(points, [best[r] for r in range(runs)]))
+    pairs = labelled.select("segment_id", "w", F.posexplode("labels").alias("run0", "prediction"))
+    pairs = pairs.select((F.col("run0") + 1).alias("run"), "segment_id", "prediction", F.get("w", F.col("run0")).alias("n")).where("n > 0")
+    ari = {r.run: r.ari for r in adjusted_rand_index(pairs, "segment_id", "prediction", "n", ["run"]).collect()}  # one row per run
+    silhouettes = sampled_silhouettes(labelled, runs, list(range(runs)), ANCHORS_PER_CLUSTER, seed)
+    labelled.unpersist()
+    points.unpersist()
+    remove_written(stored)
+    rows = [(run, float(ari[run]), *silhouettes[run - 1]) for run in range(1, runs + 1)]
+    return spark.createDataFrame(rows, "run int, ari_vs_baseline double, silhouette double, silhouette_error double")

@@ -1,28 +1,25 @@
-"""User segmentation: standardisation, k-means (MLlib), labels, outliers, profiles.
+"""User segmentation: standardisation, k-means, labels, outliers, profiles.
 
 The feature matrix lives in Spark; only model parameters reach the driver:
-per-feature mean/deviation (2 x d numbers), centroids (k x d), per-cluster
-counts (k) and per-k metrics.  Label assignment is a projection against the
+per-feature mean/deviation (2 x d numbers), centroids (k x d per model), per-cluster
+counts (k), per-k metrics and the anchors of the silhouettes.  Label assignment is a projection against the
 centroids (argmin of k squared distances), so it stays inside whole-stage
 codegen and needs no join.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlens.operators.features import SHARE_PREFIX
 from sessionlens.functions import finite_or_zero
 from sessionlens.functions.quantiles import grouped_median
+from sessionlens.operators.kmeans import TIE, Model, best_fits, cached, fit_models, sampled_silhouettes, with_labels
 from sessionlens.schema import assert_unique
-from sessionlens.session import ensure_checkpoint_dir
+from sessionlens.session import written
 
 # Base features used for segmentation when present (order kept).
 BASE_FEATURES = [
@@ -81,12 +78,13 @@ def squared_distance(cols: list[str], center: list[float]) -> F.Column:
 
 
 def assign_nearest(df: DataFrame, cols: list[str], centers: list[list[float]],
-                   label_col: str = "segment_id", dist_col: str | None = None) -> DataFrame:
-    """Label = index of the nearest centre (ties -> lowest index)."""
+                   label_col: str = "segment_id", dist_col: str | None = None, tie: float = 0.0) -> DataFrame:
+    """Label = index of the nearest centre (ties, distances within ``tie`` -> lowest index)."""
     d = F.array(*[squared_distance(cols, c) for c in centers])
-    out = df.withColumn("_d", d).withColumn(
-        label_col, (F.array_position(F.col("_d"), F.array_min(F.col("_d"))) - 1).cast("int")
-    )
+    first = F.array_position(F.col("_d"), F.array_min(F.col("_d")))
+    if tie:
+        first = F.array_position(F.transform("_d", lambda x: x <= F.array_min(F.col("_d")) + F.lit(tie)), True)
+    out = df.withColumn("_d", d).withColumn(label_col, (first - 1).cast("int"))
     if dist_col:
         out = out.withColumn(dist_col, F.array_min(F.col("_d")))
     return out.drop("_d")
@@ -165,49 +163,9 @@ def silhouette_sq_euclidean(df: DataFrame, cols: list[str], label_col: str,
     return per_point.agg((F.sum(F.col("_s") * F.col("_w")) / F.sum("_w")).alias("silhouette"))
 
 
-def vectors(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(df).select(*keep, "features")
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Materialise a frame reused by many jobs: checkpoint (cuts lineage) + cache."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _fit(vec: DataFrame, k: int, seed: int, max_iter: int, weight_col: str | None):
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="prediction")
-    if weight_col:
-        km = km.setWeightCol(weight_col)
-    model = km.fit(vec)
-    return model, model.summary.trainingCost
-
-
-def fit_grid(vec: DataFrame, ks: list[int], seeds: list[int], max_iter: int, weight_col: str | None = None,
-             parallelism: int = 4) -> dict:
-    """Fit every (k, seed); return {k: (best model, cost)} (lowest cost, then lowest seed).
-
-    Fits are independent Spark jobs over the same cached vectors; like MLlib's
-    CrossValidator(parallelism=...), up to ``parallelism`` of them are
-    submitted at once from driver threads.
-    """
-    grid = [(k, sd) for k in ks for sd in seeds]
-    if parallelism > 1 and len(grid) > 1:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            fitted = list(pool.map(lambda g: _fit(vec, g[0], g[1], max_iter, weight_col), grid))
-    else:
-        fitted = [_fit(vec, k, sd, max_iter, weight_col) for k, sd in grid]
-    best: dict = {}
-    for (k, sd), (model, cost) in zip(grid, fitted):
-        if k not in best or cost < best[k][1]:
-            best[k] = (model, cost)
-    return best
-
-
-def fit_best_kmeans(vec: DataFrame, k: int, seed: int, n_init: int, max_iter: int,
-                    weight_col: str | None = None, parallelism: int = 4):
-    """Best of ``n_init`` MLlib k-means fits (seeds seed .. seed+n_init-1) by training cost."""
-    return fit_grid(vec, [k], list(range(seed, seed + n_init)), max_iter, weight_col, parallelism)[k]
+def points_of(scaled: DataFrame, cols: list[str], id_col: str, keep: list[str] | None = None) -> DataFrame:
+    """The rows as points for ``operators.kmeans``: id, x (the features in order) and the columns to keep."""
+    return scaled.select(F.col(id_col).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), *(keep or []))
 
 
 def outlier_policy(labels: DataFrame, threshold: float, label_col: str = "segment_id") -> DataFrame:
@@ -272,35 +230,38 @@ def segment_users(
     max_iter: int = 300,
     n_init: int = 20,
     outlier_threshold: float = 0.0,
-    parallelism: int = 8,
+    anchors_per_cluster: int = 128,
 ) -> SegmentationResult:
+    """Segments of the users with at least ``min_sessions`` sessions; the others are -1.
+
+    Every k of ``k_range`` is fitted from ``n_init`` seeds (all in the same passes over
+    the users, see ``operators.kmeans``) and keeps its fit of least cost.  The k of
+    the largest Euclidean silhouette is chosen (equal ones: the smallest k); each
+    k's silhouette is over ``anchors_per_cluster`` points of each cluster against all
+    users, with its standard error in ``model_info``.
+    """
     spark = user_features.sparkSession
     features = features or feature_columns(user_features)
+    ks = [int(k) for k in k_range]
     eligible = user_features.where(F.col("n_sessions") >= min_sessions)
     ineligible = user_features.where(F.col("n_sessions") < min_sessions)
-    scaled = reliable(standardize(eligible, features, keep=[id_col]))
-    vec = vectors(scaled, features, [id_col]).persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    best = fit_grid(vec, [int(k) for k in k_range], list(range(seed, seed + n_init)), max_iter,
-                    parallelism=parallelism)
-    rows, models = [], {}
-    for k in k_range:
-        model, cost = best[int(k)]
-        sil = float(evaluator.evaluate(model.transform(vec)))
-        rows.append((int(k), sil, float(cost)))
-        models[int(k)] = model
-    model_info = spark.createDataFrame(rows, "k int, silhouette double, inertia double").orderBy("k")
-    chosen_k = sorted(rows, key=lambda r: (-r[1], r[0]))[0][0]
-    centers = [list(map(float, c)) for c in models[chosen_k].clusterCenters()]
-    labels = assign_nearest(scaled, features, centers).select(id_col, "segment_id")
+    scaled = written(standardize(eligible, features, keep=[id_col]), "scaled-users")
+    points = cached(points_of(scaled, features, id_col))
+    models = [Model(k, sd) for k in ks for sd in range(seed, seed + n_init)]
+    best = best_fits(fit_models(points, models, max_iter), lambda m: m.k)
+    silhouettes = sampled_silhouettes(with_labels(points, [best[k] for k in ks]), len(ks), None, anchors_per_cluster, seed)
+    points.unpersist()
+    rows = [(k, sil, best[k].cost, error) for k, (sil, error) in zip(ks, silhouettes)]
+    model_info = spark.createDataFrame(rows, "k int, silhouette double, inertia double, silhouette_error double").orderBy("k")
+    chosen_k = min(rows, key=lambda r: (math.isnan(r[1]), -r[1], r[0]))[0]
+    centers = [list(map(float, c)) for c in best[chosen_k].centres]
+    labels = assign_nearest(scaled, features, centers, tie=TIE).select(id_col, "segment_id")
     labels = outlier_policy(labels, outlier_threshold)
     rest = ineligible.select(id_col, F.lit(-1).cast("int").alias("segment_id"))
     assignments = labels.unionByName(rest)
     if renumber_segments:
         assignments = renumber(assignments)
     profile = segment_profile(user_features, assignments, features, id_col)
-    vec.unpersist()
-    scaled.unpersist()  # later reads of the labels use the checkpoint files
     return SegmentationResult(
         assignments=assignments,  # one row per user: sort only where a small extract is written
         profile=profile,

@@ -79,20 +79,22 @@ def temporal_drift(shares: DataFrame) -> DataFrame:
     return out.where(F.col("prev_period").isNotNull()).select("period", "prev_period", "l1_drift", "psi_drift").orderBy("period")
 
 
-def adjusted_rand_index(labels: DataFrame, true_col: str, pred_col: str, weight_col: str | None = None) -> DataFrame:
-    """One-row ARI from the (true, pred) contingency table (pair-counting form).
+def adjusted_rand_index(labels: DataFrame, true_col: str, pred_col: str, weight_col: str | None = None,
+                        by: list[str] | None = None) -> DataFrame:
+    """ARI from the (true, pred) contingency table (pair-counting form): one row, or one for each value of ``by``.
 
     Weighted rows count ``weight`` times (bootstrap draws).  Perfect agreement
     and degenerate inputs (no disagreeing pairs) give 1.0.
     """
+    by = by or []
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    cont = labels.groupBy(true_col, pred_col).agg(F.sum(w).alias("n_ij"))
-    a = cont.groupBy(true_col).agg(F.sum("n_ij").alias("a_i")).agg(F.sum(F.col("a_i") ** 2).alias("sa"))
-    b = cont.groupBy(pred_col).agg(F.sum("n_ij").alias("b_j")).agg(F.sum(F.col("b_j") ** 2).alias("sb"))
-    c = cont.agg(F.sum("n_ij").alias("n"), F.sum(F.col("n_ij") ** 2).alias("sq"))
-    # three one-row aggregates side by side: tag and join on the tag
+    cont = labels.groupBy(*by, true_col, pred_col).agg(F.sum(w).alias("n_ij"))
+    a = cont.groupBy(*by, true_col).agg(F.sum("n_ij").alias("a_i")).groupBy(*by).agg(F.sum(F.col("a_i") ** 2).alias("sa"))
+    b = cont.groupBy(*by, pred_col).agg(F.sum("n_ij").alias("b_j")).groupBy(*by).agg(F.sum(F.col("b_j") ** 2).alias("sb"))
+    c = cont.groupBy(*by).agg(F.sum("n_ij").alias("n"), F.sum(F.col("n_ij") ** 2).alias("sq"))
+    # small aggregates side by side: joined on ``by`` and a constant
     one = F.lit(1).alias("_k")
-    t = c.select(one, "*").join(a.select(one, "*"), "_k").join(b.select(one, "*"), "_k")
+    t = c.select(one, "*").join(a.select(one, "*"), ["_k", *by]).join(b.select(one, "*"), ["_k", *by])
     tp = F.col("sq") - F.col("n")
     fp = F.col("sb") - F.col("sq")
     fn = F.col("sa") - F.col("sq")
@@ -100,7 +102,7 @@ def adjusted_rand_index(labels: DataFrame, true_col: str, pred_col: str, weight_
     ari = F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
         2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn))
     )
-    return t.select(ari.alias("ari"))
+    return t.select(*by, ari.alias("ari"))
 
 
 def stability_summary(drift: DataFrame, bootstrap: DataFrame | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from sessionlens.operators import bootstrap, cleaning, conversion, features, labels, paths, quality, segments, sessions, stability
-from sessionlens.session import ensure_checkpoint_dir
+from sessionlens.session import written
 from sessionlens.sources import driver_tables as dt, text_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,8 @@ def user_features_of(spark, sf):
 
 
 def written_once(df: DataFrame) -> DataFrame:
-    """A user-level table that several jobs read: written once (checkpoint), so the events are derived once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """A user-level table that several jobs read: written once (Parquet), so the events are derived once."""
+    return written(df, "users")
 
 
 def m_events_labeled(spark, sf):
@@ -230,16 +229,32 @@ def q_bootstrap(spark, sf):
     return bootstrap.bootstrap_stability(uf, res.assignments, res.feature_columns, res.chosen_k)
 
 
+RUNS = range(1, 21)
+
+
+def _bootstrap_weights(users):
+    """(user_id, w): draws of every user in each of the twenty bootstrap samples."""
+    return bootstrap.drawn_users(users.select("user_id"), len(RUNS), 0.8, 42)
+
+
 def q_bootstrap_draws(spark, sf):
-    """Draw counts of every user in the first three bootstrap samples."""
-    runs = users_latest(spark, sf).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("run"))
-    return runs.select("user_id", "run", bootstrap.draw_counts(F.col("user_id"), F.col("run"), 42, 0.8).alias("draws"))
+    """Draw counts of every drawn user in each bootstrap sample."""
+    drawn = _bootstrap_weights(users_latest(spark, sf).select(F.col("id").alias("user_id")))
+    runs = drawn.select("user_id", F.posexplode("w").alias("run", "draws"))
+    return runs.select("user_id", (F.col("run") + 1).alias("run"), "draws").where("draws > 0")
+
+
+def q_bootstrap_sizes(spark, sf):
+    """Draws and drawn users of each bootstrap sample: exactly floor(0.8 N) draws."""
+    return q_bootstrap_draws(spark, sf).groupBy("run").agg(F.sum("draws").alias("n_draws"), F.count("user_id").alias("n_drawn"))
 
 
 def q_bootstrap_ari(spark, sf):
-    """Agreement of the first bootstrap sample's nearest centres with the labels, each copy counted."""
-    w = bootstrap.draw_counts(F.col("user_id"), F.lit(1), 42, 0.8)
-    return stability.adjusted_rand_index(_nearest(spark, sf).withColumn("w", w).where("w > 0"), "true_segment", "segment_id", "w")
+    """Agreement of each bootstrap sample's nearest centres with the labels, each copy counted."""
+    near = written_once(_nearest(spark, sf).select("user_id", "true_segment", "segment_id"))
+    rows = near.join(_bootstrap_weights(near), "user_id").select("true_segment", "segment_id", F.posexplode("w").alias("run0", "n"))
+    rows = rows.where("n > 0").withColumn("run", F.col("run0") + 1)
+    return stability.adjusted_rand_index(rows, "true_segment", "segment_id", "n", ["run"])
 
 
 def q_pipeline(spark, sf):
@@ -262,7 +277,7 @@ def q_kmeans_invariants(spark, sf):
     """One row of truths that hold for any right k-means segmentation, whatever its labels."""
     uf = written_once(user_features_of(spark, sf))
     cols = segments.feature_columns(uf)
-    res = segments.segment_users(uf, cols, min_sessions=MIN_SESSIONS, renumber_segments=False, k_range=range(2, 6), n_init=5)
+    res = segments.segment_users(uf, cols, min_sessions=MIN_SESSIONS, renumber_segments=False)
     eligible = uf.where(F.col("n_sessions") >= MIN_SESSIONS)
     z = segments.standardize(eligible, cols)
     nearest = segments.assign_nearest(z, cols, res.centers, "nearest", "d2").join(res.assignments, "user_id")
@@ -374,6 +389,7 @@ def queries() -> dict[str, Query]:
         "segment_conversion_idle": q_conversion_idle,
         "standardized_infinite": q_standardized_infinite,
         "bootstrap_draws": q_bootstrap_draws,
+        "bootstrap_sizes": q_bootstrap_sizes,
         "bootstrap_ari_given_labels": q_bootstrap_ari,
         "lloyd_step": q_lloyd_step,
         "kmeans_invariants": q_kmeans_invariants,

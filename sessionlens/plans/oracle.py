@@ -10,7 +10,6 @@ sides so float summation order cannot change a value hash.
 
 from __future__ import annotations
 
-import math
 
 # Fixed values of the fixture, written out here so that a mistake in the engine's own lists shows.
 PART_CATEGORY_MAP = {"economy": "ECONOMY", "large": "LARGE", "medium": "MEDIUM", "promo": "PROMO", "small": "SMALL"}
@@ -39,6 +38,8 @@ def build(final: str, *needs: str, doubles: tuple[str, ...] = ()) -> str:
     parts = [f"{n} AS (\n{_CTES[n][1]}\n)" for n in order]
     head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
     body = f"{head}{final}"
+    if any(n.endswith("_lloyd") for n in order):
+        body = body.replace("WITH ", "WITH RECURSIVE ", 1)
     if doubles:
         repl = ", ".join(
             f"CASE WHEN isnan({c}) OR abs({c}) >= 1e9 THEN {c} ELSE floor({c} * 1e6 + 0.5) / 1e6 END + 0.0 AS {c}"
@@ -261,11 +262,113 @@ _drift("shares_w", "drift_w")
 _drift("shares_m", "drift_m")
 
 
-def _draws(user: str, run: str) -> str:
-    """Poisson(0.8) draws of a user: how many cumulative probabilities the hashed uniform number exceeds."""
-    u = f"CAST('0x' || substr(md5(concat_ws(':', {user}, {run}, 42)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
-    cdf = [sum(math.exp(-0.8) * 0.8**j / math.factorial(j) for j in range(k + 1)) for k in range(14)]
-    return "CAST(" + " + ".join(f"CAST({u} > {c!r}::DOUBLE AS INT)" for c in cdf) + " AS INT)"
+def _uniform(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def _draw_ctes(users: str, name: str) -> None:
+    """``name`` (run, user_id, draws): exactly floor(0.8 N) draws in each of twenty runs."""
+    cte(f"{name}_n", [users], f"SELECT count(*) AS n, CAST(floor(0.8 * count(*)) AS BIGINT) AS size FROM {users}")
+    cte(f"{name}_rows", [users], f"SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM {users}")
+    cte(name, [f"{name}_n", f"{name}_rows"], f"""SELECT run, user_id, CAST(count(*) AS INTEGER) AS draws FROM (
+  SELECT run, least(CAST(floor({_uniform('run', 'j', '42')} * n) AS BIGINT), n - 1) AS place
+  FROM (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS run), (SELECT n, unnest(range(size)) AS j FROM {name}_n)) d
+JOIN {name}_rows USING (place) GROUP BY run, user_id""")
+
+
+cte("all_users", ["users_latest"], "SELECT id AS user_id FROM users_latest")
+_draw_ctes("all_users", "user_draws")
+_draw_ctes("zlab", "zlab_draws")
+
+
+def _kmeans_ctes(p: str, points: str, models: str, needs: list[str], per_cluster: int) -> None:
+    """K-means of many models: ``p``_best (model, cluster, centre), ``p``_labels, ``p``_silhouette.
+
+    ``points`` gives (run, id, w, the features), ``models`` gives (run, k, seed); seeds draw k-means++ starts, Lloyd
+    steps run until the squared moves of a model add up to 1e-4 or less, and each (run, k) keeps its cheapest seed.
+    """
+    z, c = FEATURES, [f"c_{f}" for f in FEATURES]
+    dist = lambda a, b: " + ".join(f"({a}.{f} - {b}.c_{f}) * ({a}.{f} - {b}.c_{f})" for f in z)
+    cols = ", ".join(c)
+    as_centre = ", ".join(f"p.{f} AS c_{f}" for f in z)
+    cte(f"{p}_points", needs, points)
+    cte(f"{p}_models", needs, models)
+    cte(f"{p}_chains", [f"{p}_models"], f"SELECT DISTINCT run, seed FROM {p}_models")
+    starts = []
+    for step in range(7):
+        far = f"SELECT ch.run, ch.seed, p.id, p.w, CAST(1 AS DOUBLE) AS d2 FROM {p}_chains ch JOIN {p}_points p USING (run)"
+        if step:
+            near = f"CASE WHEN {dist('p', 's')} < 1e-12 THEN 0 ELSE {dist('p', 's')} END"
+            least = near if step == 1 else f"least(f.d2, {near})"
+            far = f"""SELECT f.run, f.seed, f.id, f.w, {least} AS d2 FROM {p}_far{step - 1} f JOIN {p}_points p USING (run, id)
+JOIN {p}_start{step - 1} s ON s.run = f.run AND s.seed = f.seed"""
+        cte(f"{p}_far{step}", [f"{p}_chains", f"{p}_points"] + ([f"{p}_far{step - 1}", f"{p}_start{step - 1}"] if step else []), far)
+        race = f"CASE WHEN d2 > 0 THEN -ln(greatest({_uniform('id', 'seed', str(step))}, 2.220446049250313e-16)) / (w * d2) ELSE 1e300 END"
+        cte(f"{p}_start{step}", [f"{p}_far{step}"], f"""SELECT r.run, r.seed, {step} AS cluster, {as_centre} FROM (
+  SELECT run, seed, id, row_number() OVER (PARTITION BY run, seed ORDER BY {race}, id) AS place FROM {p}_far{step}) r
+JOIN {p}_points p USING (run, id) WHERE r.place = 1""")
+        starts.append(f"SELECT * FROM {p}_start{step}")
+    cte(f"{p}_starts", [f"{p}_start{j}" for j in range(7)], " UNION ALL ".join(starts))
+    means = ", ".join(f"sum(p.w * p.{f}) / sum(p.w) AS m_{f}" for f in z)
+    moves = " + ".join(f"(coalesce(m_{f}, c_{f}) - c_{f}) * (coalesce(m_{f}, c_{f}) - c_{f})" for f in z)
+    moved = ", ".join(f"coalesce(m_{f}, c_{f}) AS c_{f}" for f in z)
+    near = lambda src, where: f"""SELECT run, k, seed, id, cluster, d2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY run, k, seed, id ORDER BY d2 > least_d2 + 1e-9, cluster) AS place FROM (
+      SELECT *, min(d2) OVER (PARTITION BY run, k, seed, id) AS least_d2 FROM (
+        SELECT l.run, l.k, l.seed, p.id, l.cluster, {dist('p', 'l')} AS d2
+        FROM {src} l JOIN {p}_points p ON p.run = l.run {where}) d) e) q WHERE place = 1"""
+    cte(f"{p}_lloyd", [f"{p}_starts", f"{p}_models", f"{p}_points"], f"""SELECT 0 AS it, m.run, m.k, m.seed, s.cluster, {cols}, TRUE AS moving
+FROM {p}_models m JOIN {p}_starts s ON s.run = m.run AND s.seed = m.seed AND s.cluster < m.k
+UNION ALL
+SELECT it + 1 AS it, run, k, seed, cluster, {moved}, sum({moves}) OVER (PARTITION BY run, k, seed) > 1e-4 AS moving
+FROM {p}_lloyd LEFT JOIN (
+  SELECT n.run, n.k, n.seed, n.cluster, {means} FROM ({near(p + '_lloyd', 'WHERE l.moving')}) n
+  JOIN {p}_points p ON p.run = n.run AND p.id = n.id GROUP BY n.run, n.k, n.seed, n.cluster) USING (run, k, seed, cluster)
+WHERE moving AND it < 300""")
+    cte(f"{p}_final", [f"{p}_lloyd"], f"""SELECT run, k, seed, cluster, {cols} FROM {p}_lloyd
+QUALIFY it = max(it) OVER (PARTITION BY run, k, seed)""")
+    cte(f"{p}_near", [f"{p}_final", f"{p}_points"], near(p + "_final", ""))
+    cte(f"{p}_cost", [f"{p}_near", f"{p}_points"], f"""SELECT run, k, seed, inertia FROM (
+  SELECT n.run, n.k, n.seed, sum(w * d2) AS inertia FROM {p}_near n JOIN {p}_points p ON p.run = n.run AND p.id = n.id
+  GROUP BY n.run, n.k, n.seed) t
+QUALIFY row_number() OVER (PARTITION BY run, k ORDER BY CAST(format('{{:.8e}}', inertia) AS DOUBLE), seed) = 1""")
+    cte(f"{p}_labels", [f"{p}_near", f"{p}_cost", f"{p}_points"], f"""SELECT n.run, n.k, n.id, n.cluster, p.w, {', '.join(f'p.{f}' for f in z)}
+FROM {p}_near n JOIN {p}_cost USING (run, k, seed) JOIN {p}_points p ON p.run = n.run AND p.id = n.id""")
+    away = "sqrt(" + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in z) + ")"
+    cte(f"{p}_silhouette", [f"{p}_labels"], f"""SELECT run, k, CASE WHEN count(*) > 1 THEN sum(share * own) ELSE 'nan'::DOUBLE END AS silhouette,
+  CASE WHEN count(*) > 1 THEN sqrt(sum(CASE WHEN m > 1 AND sampled < 1 THEN share * share * spread / m * (1 - sampled) ELSE 0 END)) ELSE 'nan'::DOUBLE END AS silhouette_error
+FROM (SELECT run, k, cluster, any_value(size) / any_value(total) AS share, sum(w) / any_value(size) AS sampled, count(*) AS m, any_value(own) AS own,
+        sum(w * w * (s - own) * (s - own)) / (avg(w) * avg(w) * nullif(count(*) - 1, 0)) AS spread
+      FROM (SELECT *, sum(s * w) OVER (PARTITION BY run, k, cluster) / sum(w) OVER (PARTITION BY run, k, cluster) AS own FROM (
+        SELECT x.run, x.k, x.id, x.cluster, x.w, x.size, x.total,
+          CASE WHEN x.size <= 1 THEN 0 WHEN greatest(x.a, x.b) = 0 THEN 0 ELSE (x.b - x.a) / greatest(x.a, x.b) END AS s
+        FROM (SELECT run, k, id, cluster, w, max(CASE WHEN other = cluster THEN n END) AS size, sum(n) AS total,
+                max(CASE WHEN other = cluster THEN far / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> cluster THEN far / n END) AS b
+              FROM (SELECT a.run, a.k, a.id, a.cluster, a.w, b.cluster AS other, sum(b.w) AS n, sum(b.w * {away}) AS far
+                    FROM (SELECT * FROM {p}_labels QUALIFY row_number() OVER (PARTITION BY run, k, cluster ORDER BY {_uniform('id', '42', "'anchor'")}, id) <= {per_cluster}) a
+                    JOIN {p}_labels b ON a.run = b.run AND a.k = b.k GROUP BY a.run, a.k, a.id, a.cluster, a.w, b.cluster) d
+              GROUP BY run, k, id, cluster, w) x) y) v
+      GROUP BY run, k, cluster) c GROUP BY run, k""")
+
+
+_kmeans_ctes("seg", f"SELECT 0 AS run, user_id AS id, CAST(1 AS DOUBLE) AS w, {', '.join(FEATURES)} FROM zfeat",
+             "SELECT 0 AS run, k, seed FROM (SELECT unnest(range(3, 8)) AS k), (SELECT unnest(range(42, 62)) AS seed)", ["zfeat"], 128)
+cte("seg_chosen", ["seg_silhouette"], "SELECT k FROM seg_silhouette ORDER BY silhouette DESC, k LIMIT 1")
+cte("seg_assign", ["seg_labels", "seg_chosen"], """SELECT id AS user_id, CAST(dense_rank() OVER (ORDER BY cluster) - 1 AS INTEGER) AS segment_id
+FROM seg_labels JOIN seg_chosen USING (k)""")
+_draw_ctes("zfeat", "boot_draws")
+_kmeans_ctes("boot", f"SELECT run, user_id AS id, CAST(draws AS DOUBLE) AS w, {', '.join(FEATURES)} FROM boot_draws JOIN zfeat USING (user_id)",
+             """SELECT run, k, 42 + run + i AS seed FROM (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS run), (SELECT unnest(range(20)) AS i), seg_chosen""",
+             ["boot_draws", "zfeat", "seg_chosen"], 64)
+
+
+def _ari_by_run(src: str) -> str:
+    return f"""CASE WHEN fn = 0 AND fp = 0 THEN 1.0
+  ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari
+FROM (SELECT run, sq - n AS tp, sb - sq AS fp, sa - sq AS fn, n * n - (sb - sq) - (sa - sq) - sq AS tn FROM
+  (SELECT run, sum(n_ij) AS n, sum(n_ij * n_ij) AS sq FROM {src} GROUP BY run)
+  JOIN (SELECT run, sum(x * x) AS sa FROM (SELECT run, sum(n_ij) AS x FROM {src} GROUP BY run, t) GROUP BY run) USING (run)
+  JOIN (SELECT run, sum(x * x) AS sb FROM (SELECT run, sum(n_ij) AS x FROM {src} GROUP BY run, p) GROUP BY run) USING (run)) r"""
 
 
 def _ari(src: str) -> str:
@@ -463,9 +566,16 @@ UNION ALL SELECT 1, 'temporal_l1_max', max(l1_drift) FROM drift_m
 UNION ALL SELECT 2, 'temporal_psi_mean', avg(psi_drift) FROM drift_m
 UNION ALL SELECT 3, 'temporal_psi_max', max(psi_drift) FROM drift_m) t""", "drift_m", doubles=("value",))
     q["ari_given_labels"] = build(_ari("cont"), "cont", doubles=("ari",))
-    q["bootstrap_draws"] = build(
-        f"SELECT id AS user_id, run, {_draws('id', 'run')} AS draws FROM users_latest, (SELECT unnest([1, 2, 3]) AS run)", "users_latest")
-    q["bootstrap_ari_given_labels"] = build(_ari("boot_cont"), "boot_cont", doubles=("ari",))
+    q["bootstrap_draws"] = build("SELECT user_id, run, draws FROM user_draws", "user_draws")
+    q["bootstrap_sizes"] = build("""SELECT run, CAST(any_value(size) AS BIGINT) AS n_draws, count(*) AS n_drawn
+FROM user_draws, user_draws_n GROUP BY run""", "user_draws", "user_draws_n")
+    q["bootstrap_ari_given_labels"] = build(f"SELECT run, {_ari_by_run('boot_cont')}", "boot_cont", doubles=("ari",))
+    q["k_selection"] = build("""SELECT CAST(k AS INTEGER) AS k, silhouette, inertia, silhouette_error
+FROM seg_silhouette JOIN seg_cost USING (k)""", "seg_silhouette", "seg_cost", doubles=("silhouette", "inertia", "silhouette_error"))
+    q["kmeans_segments"] = build("SELECT user_id, segment_id FROM seg_assign", "seg_assign")
+    q["bootstrap_stability"] = build(f"""SELECT run, ari AS ari_vs_baseline, silhouette, silhouette_error
+FROM (SELECT run, {_ari_by_run('boot_fit_cont')}) a JOIN boot_silhouette USING (run)""", "boot_fit_cont", "boot_silhouette",
+                                     doubles=("ari_vs_baseline", "silhouette", "silhouette_error"))
     q["sessions_month"] = build("SELECT * FROM m_sessions", "m_sessions", doubles=_SESS_D)
     q["user_features_month"] = build("SELECT * FROM m_user_features", "m_user_features", doubles=_UF_D)
     q["parsed_events"] = """SELECT CAST(trunc(CAST(user_id AS DOUBLE)) AS BIGINT) AS user_id, ga_session_id,
@@ -517,5 +627,7 @@ cte("sp", ["j_sp"], "SELECT * FROM j_sp")
 cte("ari_cont", ["nearest"], """SELECT true_segment AS t, segment_id AS p, CAST(count(*) AS DOUBLE) AS n_ij
 FROM nearest GROUP BY true_segment, segment_id""")
 cte("cont", ["ari_cont"], "SELECT * FROM ari_cont")
-cte("boot_cont", ["nearest"], f"""SELECT t, p, sum(w) AS n_ij FROM (
-  SELECT true_segment AS t, segment_id AS p, CAST({_draws('user_id', '1')} AS DOUBLE) AS w FROM nearest) WHERE w > 0 GROUP BY t, p""")
+cte("boot_cont", ["nearest", "zlab_draws"], """SELECT run, true_segment AS t, segment_id AS p, CAST(sum(draws) AS DOUBLE) AS n_ij
+FROM nearest JOIN zlab_draws USING (user_id) GROUP BY run, true_segment, segment_id""")
+cte("boot_fit_cont", ["boot_labels", "seg_assign"], """SELECT run, segment_id AS t, cluster AS p, sum(w) AS n_ij
+FROM boot_labels b JOIN seg_assign a ON a.user_id = b.id GROUP BY run, segment_id, cluster""")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sessionlens") -> SparkSession:
@@ -26,25 +27,52 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ses
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder named by the cluster.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (or one already set on the
-    SparkContext).  Only a local-mode session without one gets a private
-    temporary folder; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    Only a local-mode session without either gets a private temporary folder; on a
+    cluster a missing setting is an error, because a machine-local folder would
+    not survive the loss of an executor.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sessionlens-ckpt-"))
-        return sc.getCheckpointDir()
-    raise RuntimeError(
-        "spark.checkpoint.dir is not set; name a shared folder (e.g. on HDFS/S3) for checkpoints"
-    )
+    got = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if got:
+        return got
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sessionlens-shared-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet (zstandard) in the shared folder and read back: cuts the lineage, keeps column pruning."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(*tables: DataFrame) -> None:
+    """Delete what ``written`` made, once nothing reads it any more (only folders directly in the shared folder)."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        shared = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        fs = shared.getFileSystem(conf)
+        shared = fs.makeQualified(shared)
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(folder))
+            if path.getParent() is not None and path.getParent().equals(shared):
+                fs.delete(path, True)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, set as the checkpoint folder where the context has none."""
+    folder = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

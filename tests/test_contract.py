@@ -16,7 +16,7 @@ def test_registries_line_up():
     from sessionlens.plans import catalog, oracle
 
     rows_only = set(catalog.queries()) - set(oracle.oracle_sql())
-    assert rows_only == {"kmeans_segments", "k_selection", "bootstrap_stability", "pipeline_run"}
+    assert rows_only == {"pipeline_run"}
     assert all(callable(f) for f in q.values())
 
 

@@ -77,10 +77,3 @@ def test_bootstrap_refuses_repeated_users(spark):
     labels = spark.createDataFrame([(u, u % 3) for u in range(30)] * 2, "user_id long, segment_id int")
     with pytest.raises(Exception, match="not unique"):
         bootstrap_stability(features, labels, ["a", "b"], 3, runs=1, n_init=1)
-
-
-def test_bootstrap_refuses_a_share_beyond_its_table(spark):
-    from sessionlens.operators.bootstrap import poisson_thresholds
-
-    with pytest.raises(ValueError, match="draw counts"):
-        poisson_thresholds(400.0)

@@ -1,12 +1,16 @@
 """Segmentation, agreement and quantile invariants."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sessionlens.functions.quantiles import grouped_median
-from sessionlens.operators import bootstrap, segments, stability
+from sessionlens.operators import bootstrap, kmeans, segments, stability
 
 
 def _labels(spark, a, b):
@@ -57,7 +61,7 @@ def test_silhouette_matches_mllib_and_brute_force(spark):
     noisy = df.withColumn("lab", F.when(F.rand(7) < 0.2, F.lit(0)).otherwise(F.col("truth")))
     pdf = noisy.toPandas()
     ours = segments.silhouette_sq_euclidean(noisy, ["f1", "f2"], "lab").first()["silhouette"]
-    vec = segments.vectors(noisy.withColumn("prediction", F.col("lab").cast("double")), ["f1", "f2"], ["prediction"])
+    vec = VectorAssembler(inputCols=["f1", "f2"], outputCol="features").transform(noisy.withColumn("prediction", F.col("lab").cast("double")))
     mllib = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(vec)
     brute = _brute_sq_silhouette(pdf[["f1", "f2"]].to_numpy(), pdf["lab"].to_numpy())
     assert ours == pytest.approx(mllib, abs=1e-9)
@@ -122,14 +126,24 @@ def test_grouped_median_exact(spark, accuracy):
             assert got[g]["y_median"] == pytest.approx(part["y"].median())
 
 
-def test_poisson_draws_deterministic(spark):
-    df = spark.range(20000).select(F.col("id").alias("user_id"))
-    w = bootstrap.poisson_draws(bootstrap.hash_uniform(F.col("user_id"), F.lit(1), F.lit(42)), 0.8)
-    a = df.select(w.alias("w")).agg(F.avg("w"), F.variance("w")).first()
-    assert a[0] == pytest.approx(0.8, abs=0.03) and a[1] == pytest.approx(0.8, abs=0.05)
-    one = df.select("user_id", w.alias("w"))
-    again = df.repartition(7).select("user_id", w.alias("w"))
-    assert sorted(one.collect()) == sorted(again.collect())
+@pytest.mark.parametrize("n, frac", [(1, 1.0), (7, 0.8), (500, 0.8), (40, 2.5)])
+def test_draws_are_exact_and_the_same_under_any_partitioning(spark, n, frac):
+    users = spark.range(n).select((F.col("id") * 3 + 5).alias("user_id"))
+    got = sorted(tuple(r) for r in bootstrap.drawn_users(users, 6, frac, 42).collect())
+    assert got == sorted(tuple(r) for r in bootstrap.drawn_users(users.repartition(7), 6, frac, 42).collect())
+    draws = np.array([w for _, w in got])
+    assert draws.sum(0).tolist() == [int(frac * n)] * 6
+    want = np.zeros((n, 6), int)  # draw by draw
+    for run in range(6):
+        for j in range(int(frac * n)):
+            u = int(hashlib.md5(f"{run + 1}:{j}:42".encode()).hexdigest()[:13], 16) / 16**13
+            want[min(int(u * n), n - 1), run] += 1
+    assert {u: tuple(w) for u, w in got} == {3 * k + 5: tuple(w) for k, w in enumerate(want.tolist()) if any(w)}
+
+
+def test_no_draws_are_refused(spark):
+    with pytest.raises(ValueError):
+        bootstrap.exact_draws(10, 3, 0.05, 42, spark)
 
 
 def test_bootstrap_on_blobs(spark):
@@ -159,3 +173,106 @@ def test_activity_filter_outliers_and_profile(spark):
     ids = sorted({r["segment_id"] for r in res2.assignments.collect()})
     assert ids[0] == -1 or len(ids) <= 4
     assert ids[-1] == len([i for i in ids if i >= 0]) - 1
+
+
+# ------------------------------------------------- many models in one pass
+def _points(spark, x, w=None, parts=3):
+    rows = [(i * 7 % 1009, p.tolist(), *(() if w is None else (w[i].tolist(),))) for i, p in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, x array<double>" + ("" if w is None else ", w array<int>")).repartition(parts)
+
+
+def _start_by_hand(x, ids, w, seed, k):
+    chosen = []
+    for step in range(k):
+        best = None
+        for p in range(len(x)):
+            if w[p] <= 0:
+                continue
+            d2 = min((((x[p] - x[c]) ** 2).sum() for c in chosen), default=1.0)
+            u = max(int(hashlib.md5(f"{ids[p]}:{seed}:{step}".encode()).hexdigest()[:13], 16) / 16**13, 2.0**-53)
+            race = -math.log(u) / (w[p] * d2) if d2 >= 1e-12 else 1e300
+            best = min(best or (race, ids[p], p), (race, ids[p], p))
+        chosen.append(best[2])
+    return x[chosen]
+
+
+def _lloyd_by_hand(x, w, centres, max_iter=300, tol=1e-4):
+    steps = 0
+    while steps < max_iter:
+        d2 = ((x[:, None] - centres) ** 2).sum(2)
+        lab = (d2 <= d2.min(1)[:, None] + 1e-9).argmax(1)
+        new = np.array([np.average(x[lab == c], axis=0, weights=w[lab == c]) if w[lab == c].sum() > 0 else centres[c] for c in range(len(centres))])
+        moved, centres, steps = ((new - centres) ** 2).sum(), new, steps + 1
+        if moved <= tol:
+            break
+    d2 = ((x[:, None] - centres) ** 2).sum(2)
+    return centres, steps, (w * d2.min(1)).sum()
+
+
+def test_models_fitted_together_equal_each_fitted_by_hand(spark):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(150, 3)), 1)  # coarse: repeated points and points half-way between centres
+    w = rng.integers(0, 3, (150, 2)).astype(np.int32)
+    points = kmeans.cached(_points(spark, x, w))
+    ids = [i * 7 % 1009 for i in range(150)]
+    models = [kmeans.Model(k, s, p) for k in (2, 3, 5) for s in (1, 2) for p in (-1, 0, 1)]
+    for fit in kmeans.fit_models(points, models):
+        own = np.ones(150) if fit.model.weight < 0 else w[:, fit.model.weight].astype(float)
+        start = _start_by_hand(x, ids, own, fit.model.seed, fit.model.k)
+        centres, steps, cost = _lloyd_by_hand(x, own, start)
+        assert np.allclose(fit.centres, centres, atol=1e-9) and fit.steps == steps and fit.cost == pytest.approx(cost)
+
+
+def test_models_with_fewer_points_than_clusters(spark):
+    same = _points(spark, np.array([[1.0, 2.0]] * 5 + [[3.0, 4.0]]))
+    fit = kmeans.fit_models(same, [kmeans.Model(4, 1)])[0]
+    assert fit.cost == 0 and {tuple(c) for c in fit.centres.tolist()} == {(1.0, 2.0), (3.0, 4.0)}
+    with pytest.raises(ValueError):
+        kmeans.fit_models(_points(spark, np.ones((3, 2)), np.zeros((3, 1), np.int32)), [kmeans.Model(2, 1, 0)])
+    with pytest.raises(ValueError):
+        kmeans.fit_models(same, [kmeans.Model(kmeans.MAX_CENTRES + 1, 1)])
+
+
+def _euclidean_silhouette(x, lab):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i in range(len(x)):
+        own = lab == lab[i]
+        b = min(d[i, lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
+        a = d[i, own].sum() / (own.sum() - 1) if own.sum() > 1 else None
+        out.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.array(out)
+
+
+def test_silhouettes_of_all_points_are_the_definition(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 1, (60, 2)), rng.normal(4, 1, (50, 2)), [[40.0, 40.0]]]
+    fits = [kmeans.Fitted(kmeans.Model(k, 0), c, 0, 0.0) for k, c in ((2, np.array([[0.0, 0], [4, 4]])), (3, np.array([[0.0, 0], [4, 4], [40, 40]])))]
+    labelled = kmeans.with_labels(_points(spark, x), fits)
+    got = kmeans.sampled_silhouettes(labelled, 2, per_cluster=1000)
+    for (value, error), fit in zip(got, fits, strict=True):
+        lab = kmeans.nearest(x, fit.centres[None])[0][:, 0]
+        assert value == pytest.approx(_euclidean_silhouette(x, lab).mean()) and error == 0
+
+
+def test_drawn_copies_count_as_points_of_a_silhouette(spark):
+    rng = np.random.default_rng(6)
+    x, w = np.r_[rng.normal(0, 1, (20, 2)), rng.normal(3, 1, (15, 2))], rng.integers(0, 4, (35, 1)).astype(np.int32)
+    fit = kmeans.Fitted(kmeans.Model(2, 0, 0), np.array([[0.0, 0], [3, 3]]), 0, 0.0)
+    value, error = kmeans.sampled_silhouettes(kmeans.with_labels(_points(spark, x, w), [fit]), 1, [0], per_cluster=1000)[0]
+    copies = np.repeat(x, w[:, 0], axis=0)
+    lab = kmeans.nearest(copies, fit.centres[None])[0][:, 0]
+    assert value == pytest.approx(_euclidean_silhouette(copies, lab).mean()) and error == 0
+
+
+def test_sampled_silhouettes_stay_within_their_error(spark):
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(0, 1, (700, 2)), rng.normal(3, 1, (900, 2))]
+    fit = kmeans.Fitted(kmeans.Model(2, 0), np.array([[0.0, 0], [3, 3]]), 0, 0.0)
+    labelled = kmeans.cached(kmeans.with_labels(_points(spark, x), [fit]))
+    want = _euclidean_silhouette(x, kmeans.nearest(x, fit.centres[None])[0][:, 0]).mean()
+    for seed in range(5):
+        value, error = kmeans.sampled_silhouettes(labelled, 1, per_cluster=100, seed=seed)[0]
+        assert 0 < error < 0.03 and abs(value - want) < 4 * error
+    one = kmeans.Fitted(kmeans.Model(1, 0), np.array([[0.0, 0]]), 0, 0.0)
+    assert all(math.isnan(v) for v in kmeans.sampled_silhouettes(kmeans.with_labels(_points(spark, x[:9]), [one]), 1)[0])
