@@ -35,6 +35,8 @@ SAME_POINT = 1e-12
 TIE = 1e-9
 #: Race time of a point that is a centre already: drawn only when nothing else is left.
 LAST = 1e300
+#: Up to so many rows of tasks' sums go to the driver as they are; more are added up per centre in a shuffle first.
+COLLECTED = 50_000
 #: More centres (models x k) than this are refused: they and their sums are held by the driver and every task.
 MAX_CENTRES = 100_000
 
@@ -101,10 +103,13 @@ def draw_starts(points: DataFrame, chains: list[tuple[int, int]], k: int) -> np.
     spark, seeds = points.sparkSession, sorted({s for s, _ in chains})
     place = {s: p for p, s in enumerate(seeds)}
     models = [Model(1, s, w) for s, w in chains]
-    d = points.select(F.size("x").alias("d")).first().d
+    first = points.select(F.size("x").alias("d")).first()
+    if first is None:
+        raise ValueError("no points to start from")
+    d, n_parts = first.d, points.rdd.getNumPartitions()
     centres = np.empty((len(chains), 0, d))
     for step in range(k):
-        u = F.array(*[hash_uniform(F.col("id"), F.lit(s), F.lit(step)) for s in seeds]).alias("u")
+        u = F.transform(F.lit(seeds), lambda s: hash_uniform(F.col("id"), s, F.lit(step))).alias("u")  # noqa: B023
         sent = spark.sparkContext.broadcast(centres)
 
         def run(batches, sent=sent, step=step):
@@ -134,7 +139,10 @@ def draw_starts(points: DataFrame, chains: list[tuple[int, int]], k: int) -> np.
                 yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=names)
 
         drawn = points.select("id", "x", *[c for c in ("w",) if c in points.columns], u).mapInArrow(run, "chain int, race double, id long, x array<double>")
-        got = {r.chain: r.b.x for r in drawn.groupBy("chain").agg(F.min(F.struct("race", "id", "x")).alias("b")).collect()}  # one row per chain
+        drawn = drawn.select("chain", F.struct("race", "id", "x").alias("b"))
+        if n_parts * len(chains) > COLLECTED:
+            drawn = drawn.groupBy("chain").agg(F.min("b").alias("b"))
+        got = {r.chain: r.b.x for r in sorted(drawn.collect(), key=lambda r: tuple(r.b), reverse=True)}  # the least of each chain
         sent.destroy()
         if len(got) < len(chains):
             raise ValueError("a model has no points to start from")
@@ -170,9 +178,11 @@ def cluster_sums(points: DataFrame, models: list[Model], centres: list[np.ndarra
 
     schema = "slot int, " + ", ".join(f"{n} double" for n in names[1:])
     partial = points.select("x", *[c for c in ("w",) if c in points.columns]).mapInArrow(run, schema)
+    if points.rdd.getNumPartitions() * int(starts[-1]) > COLLECTED:
+        partial = partial.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names[1:]])
     total = np.zeros((int(starts[-1]), d + 2))
-    for row in partial.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect():  # one row per centre
-        total[row.slot] = row[1:]
+    for row in partial.collect():  # one row per centre, or few tasks' rows of each
+        total[row.slot] += row[1:]
     sent.destroy()
     cut = [total[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
     return [c[:, 0] for c in cut], [c[:, 2:] for c in cut], [float(c[0, 1]) for c in cut]
