@@ -156,10 +156,16 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, pieces: list[str], folded: bool) -> list[bytes]:
-        """Ids of each of the pieces, which differ from each other."""
+        """Ids of each of the pieces, which differ from each other.
+
+        Only words that stay letters under the tokenizer's normalizer take the short way: a
+        letter such as U+0130 becomes one with a mark behind it, and a mark belongs
+        to one token with the stop that follows.
+        """
         stops, found = self.stops, {}
-        stopped = [p for p in pieces if p[-1:] in stops and p[:-1].isalpha()]
-        words = list({p for p in pieces if p.isalpha()}.union(p[:-1] for p in stopped))
+        letters = lambda p: p.isalpha() and (p.isascii() or not UNUSUAL.search(p))
+        stopped = [p for p in pieces if p[-1:] in stops and letters(p[:-1])]
+        words = list({p for p in pieces if letters(p)}.union(p[:-1] for p in stopped))
         for k in range(0, len(words), ASKED_WORDS):
             some = words[k : k + ASKED_WORDS]
             found.update(zip(some, self.ask_words(some, folded), strict=True))
@@ -290,8 +296,9 @@ def write_tokens(encoded: DataFrame, path: str, block_ids: int = 1 << 16, shard_
             yield record()
 
     shards = max(1, -(-total // shard_ids))
-    dealt = encoded.select("doc_id", "n_tokens", "ids").repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-    dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(run, schema).write.parquet(path)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # rows of one doc_id spread over shards, too
+    dealt = encoded.select("doc_id", "n_tokens", "ids").repartitionByRange(shards, *order)
+    dealt.sortWithinPartitions(*order, "ids").mapInArrow(run, schema).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

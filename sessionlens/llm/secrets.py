@@ -48,6 +48,9 @@ ENCODINGS = {
     "base64": (r"^[0-9A-Za-z+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0667),
 }
 
+#: Code points of the pieces in which a text is redacted.
+PIECE = 4096
+
 SPANS = "array<struct<start:int,end:int,text:string,value:string>>"
 
 
@@ -228,16 +231,36 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", deviate: float = 3.2
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(text_col).cast("string").alias("t"))
     rows = with_secrets(rows, deviate, rate)
+    some = F.size("secrets") > 0
+    rows = rows.withColumn("pieces", F.when(some, F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    rows = rows.withColumn("gaps", F.when(some, gaps("secrets"))).withColumn("gaps", F.filter("gaps", lambda g: g["to"] >= g["from"]))
+    kept = F.transform("gaps", lambda g: F.concat(stretch("pieces", g["from"], g["to"]), F.lit(mark)))
+    last = F.array_max(F.transform("secrets", lambda s: s["end"]))
+    text = F.when(some, F.concat(F.array_join(kept, ""), stretch("pieces", last, F.length("t")))).otherwise(F.col("t"))
+    return rows.withColumn("clean", text).select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
+
+
+def gaps(spans: str, chunk: int = 64) -> Column:
+    """For each of the sorted spans (from, to): from the largest end before it to its start (none, where to < from)."""
+    struct = "struct<from:int,to:int>"
 
     def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= acc["at"], F.concat(F.substring("t", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.coalesce(before, F.lit("")))).alias("out"))
-
-    walked = F.aggregate(
-        "secrets",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("t", acc["at"] + 1, F.length("t"))),
-    )
-    text = F.when(F.size("secrets") > 0, walked).otherwise(F.col("t"))
-    return rows.withColumn("clean", text).select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
+        gap = F.struct(acc["at"].alias("from"), s["start"].alias("to"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    def chunk_step(acc: Column, c: Column) -> Column:  # a step copies one chunk and not all that came before
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{struct}>").alias("out"))
+        own = F.aggregate(F.slice(spans, c + 1, F.lit(chunk)), begin, step)
+        return bind(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{struct}>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(chunk)), begin, chunk_step, lambda acc: F.flatten(acc["out"]))
+
+
+def stretch(pieces: str, first: Column, end: Column) -> Column:
+    """The code points from ``first`` to before ``end`` of a text cut into pieces of ``PIECE``: walks into the outer two pieces only."""
+    at = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    low, high = F.floor(first / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    inner = F.array_join(F.slice(pieces, low + 2, F.greatest(high - low - 1, F.lit(0))), "")
+    several = F.concat(F.substring(at(low), first % PIECE + 1, F.lit(PIECE)), inner, F.substring(at(high), F.lit(1), end % PIECE))
+    return F.when(low == high, F.substring(at(low), first % PIECE + 1, end - first)).otherwise(several)

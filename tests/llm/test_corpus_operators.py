@@ -114,6 +114,27 @@ def test_word_encoder_equals_library(texts):
             assert np.frombuffer(ids, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("size", [3, 9])
+def test_words_that_lose_a_mark_before_a_stop(size):
+    encoder, library, rng = bitplanes.WordEncoder(bitplanes.read_tokenizer(WORD_BPE)), Tokenizer.from_file(WORD_BPE), random.Random(size)
+    parts = ["İ", "İLİ", "NEVŞEHİR", "İ", "é", "क़", "ﬁ", "ß", "한", "ᄒ", "ᅡ", "ّ", "a", "B", ".", ",", ".", ",", " ", "\n", "1", "<|endoftext|>"]
+    made = ["İ.", "İ,", "İLİ.", "NEVŞEHİR İLİ. SONRA İ.", *["".join(rng.choices(parts, k=rng.randint(1, size))) for _ in range(10_000)]]
+    want = [e.ids for e in library.encode_batch(made, add_special_tokens=False)]
+    for start in range(0, len(made), 500):  # words are learned in groups
+        got = encoder.encode(made[start : start + 500])
+        assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in got] == want[start : start + 500]
+
+
+def test_rows_of_one_id_spread_over_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(400)] + [(None, f"none {k}") for k in range(200)], "doc_id long, text string")
+    path = str(tmp_path / "files")
+    bitplanes.write_tokens(bitplanes.encode_words(docs, bitplanes.read_tokenizer(WORD_BPE), 1), path, block_ids=64, shard_ids=400)
+    assert max(r["count"] for r in spark.read.parquet(path).select("shard", F.explode("starts")).groupBy("shard").count().collect()) < 300
+    got = spark.read.parquet(path).count(), bitplanes.read_documents(spark, path).orderBy("start").collect()
+    starts = [r.start for r in got[1]]
+    assert [r.doc_id for r in got[1]] == [None] * 200 + [7] * 400 and starts == [sum(r.n_tokens for r in got[1][:k]) for k in range(600)]
+
+
 def expected_files(rows):
     library, start, out = Tokenizer.from_file(WORD_BPE), 0, {}
     for doc, text in sorted(rows, key=lambda r: r[0]):

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from math import ceil
 
@@ -257,6 +258,29 @@ def test_redaction(spark):
     assert out[1].text == 'a [SECRET]" b [SECRET] c' and out[2].text is None and out[3].text == "clean" and out[1].t == 5
 
 
+def redacted_by_hand(text, spans):
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_long_texts_is_linear(spark):
+    rng = random.Random(8)
+    long = " ".join(f"é{'x' * rng.randint(0, 9)} password={rng.choice('abcdefgh') * rng.randint(3, 12)}😀" for _ in range(30_000))
+    odd = ["a" * 4096 + " token=abcdefgh", "a" * 4090 + " token=abcdefgh " + "b" * 9000 + " secret=abcdefgh", "passwd=" + "z" * 9000, " " * 8192 + "token=abcdef" + "0123456789abcdef" * 900]
+    docs = spark.createDataFrame(list(enumerate([long, *odd])), "doc_id long, text string")
+    found = {r.doc_id: r.secrets for r in secrets.with_secrets(docs.withColumnRenamed("text", "t"), 3.29, 0.01).select("doc_id", "secrets").collect()}
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert len(found[0]) > 20_000
+    for k, text in enumerate([long, *odd]):
+        assert got[k] == redacted_by_hand(text, found[k]) and (k == 0 or "[SECRET]" in got[k])
+
+
 # --- byte-level BPE ---------------------------------------------------------
 
 
