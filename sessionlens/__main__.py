@@ -39,6 +39,7 @@ def main(argv=None) -> None:
     ap.add_argument("--bootstrap-runs", type=int, default=20)
     ap.add_argument("--bootstrap-frac", type=float, default=0.8)
     ap.add_argument("--sample-rows", type=int, default=50, help="rows of the sample tables")
+    ap.add_argument("--resume", action="store_true", help="go on with a run of the same input and settings that broke off")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("sessionlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     cfg = PipelineConfig(k_range=range(a.k_min, a.k_max + 1), n_init=a.n_init, with_journeys=a.journeys,
@@ -48,9 +49,9 @@ def main(argv=None) -> None:
                          journey=JourneyConfig(step_mode=a.step_mode, max_steps=a.max_steps))
     if a.tables:
         cfg.category_map = PART_CATEGORY_MAP
-        art = run_on_driver_tables(spark, a.tables, a.out, cfg)
+        art = run_on_driver_tables(spark, a.tables, a.out, cfg, a.resume)
     else:
-        art = run_pipeline(spark, load_all(spark, a.raw_dir, date_format=a.date_format, multiline=a.multiline), a.out, cfg)
+        art = run_pipeline(spark, load_all(spark, a.raw_dir, date_format=a.date_format, multiline=a.multiline), a.out, cfg, a.resume)
     print(f"chosen_k={art.segmentation.chosen_k} artifacts={art.out_dir}")
 
 

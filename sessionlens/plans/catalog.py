@@ -99,6 +99,10 @@ def _jout(j):
     return j.drop("steps")
 
 
+def _path_rows(j):
+    return j.select("path", "n_steps", "has_add_to_cart", "has_purchase")
+
+
 def zscores(spark, sf):
     uf = written_once(user_features_of(spark, sf))
     return segments.standardize(uf, segments.feature_columns(uf))
@@ -368,7 +372,7 @@ def queries() -> dict[str, Query]:
         "transition_matrix": q_transition_matrix,
         "transition_matrix_content": lambda s, d: paths.transition_matrix(
             paths.transition_counts(journeys_of(s, d, step_mode="content_type"))),
-        "top_paths": lambda s, d: paths.top_paths(journeys_of(s, d)),
+        "top_paths": lambda s, d: paths.top_paths(written(_path_rows(journeys_of(s, d)), "journeys")),
         "funnel": lambda s, d: paths.funnel(journeys_of(s, d)),
         "segment_path_lift": q_lift,
         "segment_shares_week": q_shares_week,
@@ -381,7 +385,7 @@ def queries() -> dict[str, Query]:
         "user_features_month": q_m_user_features,
         "segment_conversion_month": lambda s, d: conversion.segment_conversion(q_m_sessions(s, d), m_assignments(s, d)),
         "journeys_month": lambda s, d: _jout(q_m_journeys(s, d)),
-        "top_paths_month": lambda s, d: paths.top_paths(q_m_journeys(s, d)),
+        "top_paths_month": lambda s, d: paths.top_paths(written(_path_rows(q_m_journeys(s, d)), "journeys")),
         "parsed_events": text_tables.parsed_events,
         "parsed_items": text_tables.parsed_items,
         "parsed_users": text_tables.parsed_users,

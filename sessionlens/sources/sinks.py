@@ -4,11 +4,19 @@ Large tables go to Parquet (parallel writers); the per-user and per-session
 exports also go to CSV part files written in parallel.  Small report tables
 (one row per segment, per metric, or a 50-row sample) go to a single CSV file
 each; only those are coalesced to one partition.
+
+``write_ordered`` writes part files in one global order, with an index of each
+file's first and last key.  ``Manifest`` keeps, for each artifact of a run, its
+number of rows and a digest of its contents, so that a run which broke off goes on
+at the first artifact that is missing or damaged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sessionlens.schema import SRC_ORDER
 
@@ -37,3 +45,98 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def read_parquet(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_ordered(df: DataFrame, keys: list[str], path: str, kind: str = "parquet") -> str:
+    """``df`` as part files in the order of the keys, across files and inside each, and their index.
+
+    A range partitioning sorts in parallel; file names ascend with the keys.  The
+    index (``{path}_index``: file, first, last, n_rows) has one row per file.
+    """
+    writer = without_helpers(df).orderBy(*keys).write.mode("overwrite")
+    (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
+    spark = df.sparkSession
+    schema = spark.createDataFrame([], without_helpers(df).schema).schema
+    back = spark.read.schema(schema).option("header", True).csv(path) if kind == "csv" else spark.read.schema(schema).parquet(path)
+    key = F.struct(*keys)
+    index = back.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("n_rows"))
+    index.orderBy("file").coalesce(1).write.mode("overwrite").parquet(f"{path}_index")  # one row per file
+    return path
+
+
+def order_report(spark: SparkSession, path: str, keys: list[str], kind: str = "parquet", schema=None) -> DataFrame:
+    """One row: rows of the files, rows in the index, and whether the rows inside files and the files follow the keys.
+
+    Rows inside a file are compared with the row before in file order, whole files by
+    the index alone: the last key of a file is not above the first of the next.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    rows = reader.option("header", True).csv(path) if kind == "csv" else reader.parquet(path)
+    # one task per file, in file order: the files are not cut (a row group or line knows nothing of the one before)
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    placed = rows.select(at.alias("at"), F.struct(*keys).alias("key"))
+    before = F.lag("key").over(Window.partitionBy("at.file").orderBy("at.block", "at.place"))
+    inside = placed.select(F.col("key"), before.alias("before")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bool_and(F.col("before").isNull() | (F.col("before") <= F.col("key"))), F.lit(True)).alias("rows_in_order"))
+    index = spark.read.parquet(f"{path}_index")
+    last = F.lag("last").over(Window.orderBy("file"))  # one row per file
+    across = index.select("n_rows", "first", last.alias("last_before")).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_indexed"),
+        F.coalesce(F.bool_and(F.col("last_before").isNull() | (F.col("last_before") <= F.col("first"))), F.lit(True)).alias("files_in_order"))
+    return inside.crossJoin(across).select("n_rows", "n_indexed", "rows_in_order", "files_in_order")
+
+
+def contents(df: DataFrame) -> tuple[int, str]:
+    """The number of rows and a digest of them that does not depend on their order (sums of two 64-bit hashes)."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    total = lambda *c: F.coalesce(F.sum(F.xxhash64(*c).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", total(*cols), total(F.lit("again"), *cols)).alias("digest")).first()
+    return row.n, row.digest
+
+
+class Manifest:
+    """The artifacts of a run under ``out``: each is written, read back, and noted with its rows and digest.
+
+    With ``resume`` an artifact that is noted, under the same ``settings``, and whose
+    files still have the noted rows and digest is read instead of made again; the
+    first one that is missing or differs is made anew, and with it all that follow.
+    Notes are one-row files in ``{out}/_manifest``, written after the artifact.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, settings: str = "", resume: bool = False) -> None:
+        self.spark, self.out, self.settings, self.resume = spark, out.rstrip("/"), settings, resume
+        self.made: list[str] = []
+        self.kept: list[str] = []
+
+    def note(self, name: str) -> str:
+        return f"{self.out}/_manifest/{name}"
+
+    def known(self, name: str) -> tuple[int, str] | None:
+        try:
+            row = self.spark.read.schema("n_rows long, digest string, settings string").json(self.note(name)).first()
+        except AnalysisException:  # no such note
+            return None
+        return (row.n_rows, row.digest) if row is not None and row.settings == self.settings else None
+
+    def parquet(self, name: str, path: str, make: Callable[[], DataFrame], keys: list[str] | None = None) -> DataFrame:
+        """The table at ``{out}/{path}``: kept, or made by ``make()`` and written (ordered by ``keys``, where given)."""
+        where = f"{self.out}/{path}"
+        if self.resume and not self.made and (noted := self.known(name)) is not None:
+            try:
+                table = read_parquet(self.spark, where)
+                if contents(table) == noted:
+                    self.kept.append(name)
+                    return table
+            except AnalysisException:  # no such table
+                pass
+        df = make()
+        if keys:
+            write_ordered(df, keys, where)
+        else:
+            write_parquet(df, where)
+        table = read_parquet(self.spark, where)
+        n, digest = contents(table)
+        row = self.spark.createDataFrame([(n, digest, self.settings)], "n_rows long, digest string, settings string")
+        row.coalesce(1).write.mode("overwrite").json(self.note(name))
+        self.made.append(name)
+        return table
