@@ -9,13 +9,15 @@ hash; the operators themselves return full precision.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from sessionlens.operators import bootstrap, cleaning, conversion, features, labels, paths, quality, segments, sessions, stability
-from sessionlens.session import written
-from sessionlens.sources import driver_tables as dt, text_tables
+from sessionlens.plans import pipeline
+from sessionlens.session import shared_path, written
+from sessionlens.sources import csv_loader, driver_tables as dt, sinks, text_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -262,8 +264,6 @@ def q_bootstrap_ari(spark, sf):
 
 
 def q_pipeline(spark, sf):
-    from sessionlens.plans import pipeline
-
     return pipeline.run_on_driver_tables(spark, sf).conversion.table
 
 
@@ -326,6 +326,43 @@ def q_standardized_infinite(spark, sf):
     return segments.standardize(odd, ["mean_session_duration", "n_events"])
 
 
+# ------------------------------------------------------------------ files
+def q_loaded(spark, sf, name: str):
+    """One of the three tables after the way through CSV files and the loader."""
+    data = csv_loader.load_all(spark, text_tables.as_csv_files(spark, sf))
+    return sinks.without_helpers(getattr(data, name))
+
+
+def q_stored_sessions(spark, sf):
+    """Sessions written in order, noted, and read by a resumed run, which must not make them again."""
+    out = shared_path(spark, "stored")
+    sinks.Manifest(spark, out).parquet("sessions", "sessions", lambda: sessions_of(spark, sf), pipeline.SESSION_ORDER)
+
+    def again():
+        raise RuntimeError("a noted artifact was made again")
+
+    return sinks.Manifest(spark, out, resume=True).parquet("sessions", "sessions", again, pipeline.SESSION_ORDER)
+
+
+def q_stored_assignments(spark, sf):
+    """Assignments written as ordered CSV files and read back."""
+    asg = assignments_of(spark, sf)
+    path = sinks.write_ordered(asg, ["user_id"], shared_path(spark, "assignments-csv"), "csv")
+    return spark.read.schema(asg.schema).option("header", True).csv(path)
+
+
+def q_ordered_outputs(spark, sf):
+    """Rows of the ordered outputs, read back, and whether they are in order inside and across files."""
+    outputs = [("sessions", sessions_of(spark, sf), pipeline.SESSION_ORDER, "parquet"),
+               ("journeys", _jout(journeys_of(spark, sf)), pipeline.JOURNEY_ORDER, "csv"),
+               ("assignments", assignments_of(spark, sf), ["user_id"], "parquet")]
+    reports = []
+    for name, df, keys, kind in outputs:
+        path = sinks.write_ordered(df, keys, shared_path(spark, f"ordered-{name}"), kind)
+        reports.append(sinks.order_report(spark, path, keys, kind, df.schema).select(F.lit(name).alias("output"), "*"))
+    return reduce(DataFrame.unionByName, reports)
+
+
 def queries() -> dict[str, Query]:
     vocab = labels.content_vocabulary(dt.PART_CATEGORY_MAP)
     share_cols = [features.share_column(v) for v in vocab]
@@ -400,6 +437,12 @@ def queries() -> dict[str, Query]:
         "kmeans_segments": q_kmeans_segments,
         "k_selection": q_k_selection,
         "bootstrap_stability": q_bootstrap,
+        "loaded_events": lambda s, d: q_loaded(s, d, "events"),
+        "loaded_items": lambda s, d: q_loaded(s, d, "items"),
+        "loaded_users": lambda s, d: q_loaded(s, d, "users"),
+        "stored_sessions": q_stored_sessions,
+        "stored_assignments_csv": q_stored_assignments,
+        "ordered_outputs": q_ordered_outputs,
         "pipeline_run": q_pipeline,
     }
     return {name: (lambda fn: (lambda spark, sf: rounded(fn(spark, sf))))(fn) for name, fn in q.items()}

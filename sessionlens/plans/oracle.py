@@ -578,16 +578,20 @@ FROM (SELECT run, {_ari_by_run('boot_fit_cont')}) a JOIN boot_silhouette USING (
                                      doubles=("ari_vs_baseline", "silhouette", "silhouette_error"))
     q["sessions_month"] = build("SELECT * FROM m_sessions", "m_sessions", doubles=_SESS_D)
     q["user_features_month"] = build("SELECT * FROM m_user_features", "m_user_features", doubles=_UF_D)
-    q["parsed_events"] = """SELECT CAST(trunc(CAST(user_id AS DOUBLE)) AS BIGINT) AS user_id, ga_session_id,
-  country, device, type, item_id, date FROM (
-SELECT CASE WHEN event_id % 9 = 0 THEN user_id || '.7' ELSE CAST(user_id AS VARCHAR) END AS user_id,
+    cells = """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN user_id || '.7' ELSE CAST(user_id AS VARCHAR) END AS user_id,
   CAST(event_id % 100 AS BIGINT) AS ga_session_id,
   CASE event_id % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 4 THEN 'N/A' WHEN 5 THEN 'IN' END AS country,
   CASE event_id % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' WHEN 3 THEN 'tablet' END AS device,
   CASE WHEN event_id % 41 <> 0 THEN event_type END AS type,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
   CASE WHEN event_id % 53 <> 1 THEN date_trunc('second', ts) END AS date
-FROM events) t"""
+FROM events"""
+    typed = "CAST(trunc(CAST(user_id AS DOUBLE)) AS BIGINT) AS user_id, ga_session_id, country, device, type, item_id, date"
+    q["parsed_events"] = f"SELECT {typed} FROM ({cells}) t"
+    q["loaded_events"] = f"""SELECT user_id, ga_session_id, coalesce(country, 'Unknown') AS country, device, type, item_id, date
+FROM (SELECT event_id, {typed} FROM ({cells}) t) p
+WHERE user_id IS NOT NULL AND ga_session_id IS NOT NULL AND type IS NOT NULL AND date IS NOT NULL AND item_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id, ga_session_id, item_id, date, type ORDER BY event_id) = 1"""
     q["parsed_items"] = build("""SELECT p_partkey AS id, trim(p_name) AS name, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS brand,
   CAST(p_size AS VARCHAR) AS variant, trim(p_type) AS category,
   CASE p_partkey % 7 WHEN 1 THEN 12.5::DOUBLE WHEN 3 THEN 100.0 WHEN 5 THEN -3.0 END AS price_in_usd FROM part""",
@@ -596,6 +600,12 @@ FROM events) t"""
   CASE c_custkey % 5 WHEN 1 THEN 0.0::DOUBLE WHEN 3 THEN 0.0 WHEN 4 THEN 2.25 ELSE CAST(c_custkey % 17 AS DOUBLE) END AS ltv,
   CASE WHEN c_custkey % 6 <> 5 THEN TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 9) * INTERVAL 1 DAY END AS date
 FROM customer""", doubles=("ltv",))
+    q["loaded_items"], q["loaded_users"] = q["parsed_items"], q["parsed_users"]
+    q["stored_sessions"] = build("SELECT * FROM sessions", "sessions", doubles=_SESS_D)
+    q["stored_assignments_csv"] = build("SELECT user_id, segment_id FROM assignments", "assignments")
+    q["ordered_outputs"] = build("""SELECT output, n AS n_rows, n AS n_indexed, true AS rows_in_order, true AS files_in_order FROM (
+SELECT 'sessions' AS output, count(*) AS n FROM sessions UNION ALL SELECT 'journeys', count(*) FROM j_journeys
+UNION ALL SELECT 'assignments', count(*) FROM assignments) t""", "sessions", "j_journeys", "assignments")
     q["dq_durations"] = build("""SELECT 'n_events' AS metric, CAST(count(*) AS VARCHAR) AS value FROM events_clean
 UNION ALL SELECT 'negative_session_duration', CAST(count(*) FILTER (WHERE src_order % 7 = 0) AS VARCHAR) FROM events_clean""", "events_clean")
     q["segment_conversion_idle"] = build("SELECT * FROM conversion_idle", "conversion_idle", doubles=_CONV)
