@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -264,6 +265,42 @@ def test_gram_counts_and_ratios(spark):
     assert raw.sum() == 5 + 3
 
 
+def test_weights_are_summed_log_ratios(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices("abcdefgh" if k % 3 else "efghijkl", k=rng.randint(0, 30)))) for k in range(80)] + [(None, "a b"), (None, "a b")]
+    docs, good = spark.createDataFrame(rows, "doc_id long, text string"), [k for k in range(80) if k % 3][:20]
+    got = resample.importance_sample(docs, spark.createDataFrame([(k,) for k in good], "doc_id long")).collect()
+    counts = {True: Counter(), False: Counter()}
+    grams = resample.Grams(1 << 16)
+    for k, text in rows:
+        counts[False].update(grams(text).tolist())
+        if k in good:
+            counts[True].update(grams(text).tolist())
+    total = {which: sum(c.values()) + (1 << 16) for which, c in counts.items()}
+    ratio = lambda b: np.log((counts[True][b] + 1) / total[True]) - np.log((counts[False][b] + 1) / total[False])
+    assert len(got) == len(rows)
+    texts, keys = {}, []
+    for k, text in rows:
+        texts.setdefault(k, []).append(text)
+    for r in got:
+        want = sum(ratio(b) for b in grams(texts[r.doc_id][0]).tolist())
+        assert r.log_weight == pytest.approx(want, abs=1e-9) and r.score == pytest.approx(want / max(1, r.n_grams), abs=1e-9)
+        if r.n_grams:
+            u = ((xxhash64_of(r.doc_id) >> 11) + 0.5) / (1 << 53)
+            assert r.key == pytest.approx(want - np.log(-np.log(u)))
+            keys.append(r.key)
+    limit = sorted(keys, reverse=True)[int(0.85 * len(rows)) - 1]
+    assert all(r.kept == (r.key is not None and r.key >= limit) for r in got)
+
+
+def xxhash64_of(doc_id, seed=42):
+    """Spark's xxhash64 of (doc_id, seed): each column's hash seeds the next; nulls change nothing."""
+    h = 42
+    if doc_id is not None:
+        h = xxhash.xxh64(int(doc_id).to_bytes(8, "little", signed=True), seed=h).intdigest()
+    return xxhash.xxh64(int(seed).to_bytes(4, "little"), seed=h).intdigest()
+
+
 def test_kth_largest(spark):
     rng = random.Random(7)
     values = [rng.choice([rng.random(), 0.5, -1e9 * rng.random()]) for _ in range(500)]
