@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from sessionlens.operators.paths import STEP_MODES, JourneyConfig
 from sessionlens.plans.pipeline import PipelineConfig, run_on_driver_tables, run_pipeline
+from sessionlens.session import ship_package
 from sessionlens.sources.csv_loader import load_all
 from sessionlens.sources.driver_tables import PART_CATEGORY_MAP
 
@@ -42,6 +43,7 @@ def main(argv=None) -> None:
     ap.add_argument("--resume", action="store_true", help="go on with a run of the same input and settings that broke off")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("sessionlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship_package(spark)
     cfg = PipelineConfig(k_range=range(a.k_min, a.k_max + 1), n_init=a.n_init, with_journeys=a.journeys,
                          with_stability=a.stability, period=a.period, min_sessions=a.min_sessions,
                          outlier_threshold=a.outlier_threshold, bootstrap_runs=a.bootstrap_runs,
