@@ -9,8 +9,9 @@ temperature of the softmax and the probability below which a prediction is not
 ``accepted``.  Prediction uses the product of embeddings and softmax weights
 (one row of class scores per bucket), which is the same linear map.
 
-Limits: ``max_rows`` labelled rows, those with the smallest hash of their id,
-and of these the texts of up to ``max_chars`` characters; prediction covers all
+Limits: ``max_rows`` labelled rows, as many of each language, those with the
+smallest hashes of id and text (of texts of more than ``max_chars`` characters a
+stretch of that length); prediction covers all
 rows and whole texts in one pass without a shuffle.  Null texts and texts
 without a letter give ``und`` with score 0.  Without labelled rows every text
 gives ``und``.  Equal scores fall to the first language in sorted order.
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
@@ -177,19 +178,31 @@ def calibrate(model: LanguageModel, held: list[tuple[np.ndarray, int]]) -> Langu
 def labelled_sample(
     docs: DataFrame, usable: Column, settings: LanguageSettings, id_col: str, text_col: str, lang_col: str
 ) -> list[tuple[str, str]]:
-    """At most ``max_rows`` (text, language) rows: the usable ones with the smallest id hashes."""
-    rows = docs.filter(usable & F.col(lang_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")
+    """At most ``max_rows`` (text, language) rows, as many of each language: the usable ones with the smallest hashes.
+
+    Usable rows with the same id and text count once.  Rows are told apart by the hash
+    of their id, then of their text, so repeated or null ids and any order or
+    partitioning of the table give the same sample.  Of a text of more than
+    ``max_chars`` characters a stretch of that length, at a place that its hash
+    gives, is taken.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(usable & F.col(lang_col).isNotNull() & text.isNotNull()).select(
+        F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(text).alias("th"), text.alias("t")
     )
-    smallest = rows.select("h").orderBy("h").limit(settings.max_rows).agg(F.max("h")).first()[0]
-    if smallest is None:
-        return []
-    short = F.col("t").isNotNull() & (F.length("t") <= settings.max_chars)
-    got = rows.filter((F.col("h") <= smallest) & short).limit(settings.max_rows).collect()
-    pairs = [(r.t, r.l) for r in sorted(got, key=lambda r: (r.h, r.l, r.t))]
-    if len({lang for _, lang in pairs}) > settings.max_languages:
+    languages = rows.select("l").distinct().limit(settings.max_languages + 1).collect()
+    if len(languages) > settings.max_languages:
         raise ValueError(f"more than {settings.max_languages} languages among the labelled rows")
-    return pairs
+    if not languages:
+        return []
+    most = max(1, settings.max_rows // len(languages))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "th"))
+    first = rows.select("l", "h", "th").distinct().withColumn("place", place).filter(F.col("place") <= most)
+    last = first.groupBy("l").agg(F.max(F.struct("h", "th")).alias("last"))  # one row per language
+    stretch = F.substring("t", F.pmod("th", F.greatest(F.length("t") - settings.max_chars, F.lit(0)) + 1).cast("int") + 1, F.lit(settings.max_chars))
+    chosen = rows.join(F.broadcast(last), "l").filter(F.struct("h", "th") <= F.col("last"))
+    got = chosen.dropDuplicates(["l", "h", "th"]).select("l", "h", "th", F.when(F.length("t") > settings.max_chars, stretch).otherwise(F.col("t")).alias("t")).collect()
+    return [(r.t, r.l) for r in sorted(got, key=lambda r: (r.h, r.th, r.l))]
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import zstandard
+from pyspark.sql import functions as F
 
 from sessionlens.llm import bpe, langid, licenses, pii, quality, queries, secrets
 
@@ -323,6 +324,20 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_language_sample_holds_rare_languages_and_does_not_depend_on_the_order(spark):
+    rows = [(k, f"common words {k}", "en") for k in range(400)] + [(None, f"mots sans nombre {k}", "fr") for k in range(60)] + [(7, f"palabras {k}", "es") for k in range(50)]
+    rows += [(9000, "langer text " * 900, "de")] + [(3, "common words 3", "en")] * 30 + [(5, None, "it"), (6, "x", None)]
+    settings = langid.LanguageSettings(max_rows=80, max_chars=500)
+    take = lambda df: langid.labelled_sample(df, F.lit(True), settings, "doc_id", "text", "lang")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = take(docs)
+    assert Counter(lang for _, lang in got) == {"en": 20, "fr": 20, "es": 20, "de": 1} and len(set(got)) == 61
+    assert [len(t) for t, lang in got if lang == "de"] == [500]
+    assert got == take(docs.repartition(7)) == take(docs.orderBy(F.desc("text")).coalesce(1))
+    with pytest.raises(ValueError):
+        langid.labelled_sample(docs, F.lit(True), langid.LanguageSettings(max_languages=3), "doc_id", "text", "lang")
+
+
 def test_language_edges():
     model = langid.train([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)
     assert model.predict(None)[0] == model.predict("12 34 !?")[0] == model.predict("")[0] == langid.UNKNOWN
