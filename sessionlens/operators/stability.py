@@ -42,6 +42,29 @@ def segment_shares(events: DataFrame, assignments: DataFrame, period: str = "M")
     ).orderBy("period", "segment_id")
 
 
+def segment_shares_of_periods(events: DataFrame, assignments: DataFrame, periods: tuple[str, ...] = ("W", "M")) -> DataFrame:
+    """``segment_shares`` for several kinds of period (column ``period_kind``) from one scan of the events.
+
+    The events are reduced once to distinct (user, day) pairs; these meet the assignments,
+    and the periods of all kinds are distinct sets over the days of a user.  A
+    period begins on a day, so no time of day is needed.
+    """
+    require_columns(events, {"user_id", "date"}, "events")
+    require_columns(assignments, {"user_id", "segment_id"}, "assignments")
+    ev = events.select("user_id", coerce_timestamp(events, "date").alias("date")).where(F.col("date").isNotNull())
+    days = ev.select("user_id", period_start(F.col("date"), "D").alias("day")).distinct()
+    asg = assert_unique(assignments.select("user_id", F.col("segment_id").cast("int").alias("segment_id")),
+                        ["user_id"], "assignments").where(F.col("segment_id").isNotNull())
+    kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("period_kind"), period_start(F.col("day"), p).alias("period")) for p in periods]))
+    active = days.join(asg, "user_id", "inner").select("user_id", "segment_id", kinds.alias("k")).select("user_id", "segment_id", "k.*").distinct()
+    counts = active.groupBy("period_kind", "period", "segment_id").agg(F.count(F.lit(1)).alias("n_users_active"))
+    total = F.sum("n_users_active").over(Window.partitionBy("period_kind", "period"))
+    return counts.select(
+        "period_kind", "period", "segment_id", "n_users_active", total.alias("n_users_active_total"),
+        (F.col("n_users_active") / total).alias("share"),
+    ).orderBy("period_kind", "period", "segment_id")
+
+
 def temporal_drift(shares: DataFrame) -> DataFrame:
     """L1 and PSI between each period and the previous observed one.
 

@@ -184,6 +184,12 @@ def q_shares_month(spark, sf):
     return stability.segment_shares(cleaning.clean_events(dt.monthly_events(spark, sf)), m_assignments(spark, sf), "M")
 
 
+def q_shares_of_periods(spark, sf):
+    """Shares per week, month and day of the monthly events, from one scan of them."""
+    return stability.segment_shares_of_periods(
+        cleaning.clean_events(dt.monthly_events(spark, sf)), m_assignments(spark, sf), ("W", "M", "D"))
+
+
 def q_drift_summary(spark, sf):
     s = stability.stability_summary(stability.temporal_drift(q_shares_month(spark, sf)), None)
     return s.where(F.col("metric").startswith("temporal_"))
@@ -414,6 +420,7 @@ def queries() -> dict[str, Query]:
         "segment_path_lift": q_lift,
         "segment_shares_week": q_shares_week,
         "segment_shares_month": q_shares_month,
+        "segment_shares_periods": q_shares_of_periods,
         "drift_week": lambda s, d: stability.temporal_drift(q_shares_week(s, d)),
         "drift_month": lambda s, d: stability.temporal_drift(q_shares_month(s, d)),
         "stability_drift_summary": q_drift_summary,

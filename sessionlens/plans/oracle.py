@@ -258,6 +258,8 @@ GROUP BY b.period, l.prev_period""")
 
 _shares("events_clean", "assignments", "week", "shares_w")
 _shares("m_clean", "m_assign", "month", "shares_m")
+_shares("m_clean", "m_assign", "week", "shares_mw")
+_shares("m_clean", "m_assign", "day", "shares_md")
 _drift("shares_w", "drift_w")
 _drift("shares_m", "drift_m")
 
@@ -558,6 +560,9 @@ CROSS JOIN (SELECT sum(n_sessions) AS all_total FROM sp) tot
 WHERE r.rk <= 50""", "sp", doubles=("p_seg", "p_all", "lift"))
     q["segment_shares_week"] = build("SELECT * FROM shares_w", "shares_w", doubles=("share",))
     q["segment_shares_month"] = build("SELECT * FROM shares_m", "shares_m", doubles=("share",))
+    q["segment_shares_periods"] = build(" UNION ALL ".join(
+        f"SELECT '{k}' AS period_kind, * FROM {src}" for k, src in (("W", "shares_mw"), ("M", "shares_m"), ("D", "shares_md"))),
+        "shares_mw", "shares_m", "shares_md", doubles=("share",))
     q["drift_week"] = build("SELECT * FROM drift_w", "drift_w", doubles=("l1_drift", "psi_drift"))
     q["drift_month"] = build("SELECT * FROM drift_m", "drift_m", doubles=("l1_drift", "psi_drift"))
     q["stability_drift_summary"] = build("""SELECT metric, value FROM (
