@@ -31,7 +31,8 @@ CAPACITY, CANDIDATES = 20_000, 20_000
 def summaries(rows: DataFrame, keys: list[str], weight: str | None, capacity: int = CAPACITY) -> DataFrame:
     """Per task: its keys with ``n`` (at most the true count), and one row with ``is_error``, where ``n`` is its error."""
     src = rows.select(*keys, *([F.col(weight).cast("long").alias("n")] if weight else [F.lit(1).cast("long").alias("n")]))
-    schema = StructType([*src.select(*keys).schema.fields, StructField("n", LongType()), StructField("is_error", BooleanType())])
+    fields = [StructField(f.name, f.dataType) for f in src.select(*keys).schema.fields]  # nullable: the error's row has no key
+    schema = StructType([*fields, StructField("n", LongType()), StructField("is_error", BooleanType())])
     arrow = to_arrow_schema(StructType(schema.fields[:-1]))
 
     def run(batches):

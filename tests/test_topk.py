@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlens.operators import topk
 
@@ -47,6 +48,14 @@ def test_counts_without_a_group_and_without_rows(spark):
     assert topk.candidates(df, ["path"], [], 2, most_candidates=1) is None
 
 
+def test_keys_that_are_never_null(spark):
+    df = spark.range(30).select((F.col("id") % 4).alias("k"))
+    solid = spark.createDataFrame(df.rdd, "k long not null")
+    assert not solid.schema["k"].nullable
+    assert {r.k for r in topk.candidates(solid, ["k"], [], 2).collect()} >= {0, 1}
+    assert topk.candidates(solid.filter("k > 9"), ["k"], [], 2).count() == 0
+
+
 def test_a_summary_is_short_by_no_more_than_its_error(spark):
     rng = random.Random(5)
     rows = [(f"k{min(rng.randrange(200), rng.randrange(200))}",) for _ in range(5000)]
