@@ -265,11 +265,13 @@ def test_gram_counts_and_ratios(spark):
     assert raw.sum() == 5 + 3
 
 
-def test_weights_are_summed_log_ratios(spark):
+@pytest.mark.parametrize("per_word", [True, False])
+def test_weights_are_log_ratios(spark, per_word):
     rng = random.Random(9)
     rows = [(k, " ".join(rng.choices("abcdefgh" if k % 3 else "efghijkl", k=rng.randint(0, 30)))) for k in range(80)] + [(None, "a b"), (None, "a b")]
     docs, good = spark.createDataFrame(rows, "doc_id long, text string"), [k for k in range(80) if k % 3][:20]
-    got = resample.importance_sample(docs, spark.createDataFrame([(k,) for k in good], "doc_id long")).collect()
+    settings = resample.ResampleSettings(per_word=per_word)
+    got = resample.importance_sample(docs, spark.createDataFrame([(k,) for k in good], "doc_id long"), settings).collect()
     counts = {True: Counter(), False: Counter()}
     grams = resample.Grams(1 << 16)
     for k, text in rows:
@@ -287,7 +289,7 @@ def test_weights_are_summed_log_ratios(spark):
         assert r.log_weight == pytest.approx(want, abs=1e-9) and r.score == pytest.approx(want / max(1, r.n_grams), abs=1e-9)
         if r.n_grams:
             u = ((xxhash64_of(r.doc_id) >> 11) + 0.5) / (1 << 53)
-            assert r.key == pytest.approx(want - np.log(-np.log(u)))
+            assert r.key == pytest.approx((want / r.n_grams * 50 if per_word else want) - np.log(-np.log(u)))
             keys.append(r.key)
     limit = sorted(keys, reverse=True)[int(0.85 * len(rows)) - 1]
     assert all(r.kept == (r.key is not None and r.key >= limit) for r in got)
