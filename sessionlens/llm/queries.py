@@ -22,6 +22,10 @@ from sessionlens.llm import (
 
 END_ID = 1
 
+#: As many buckets as a few million words fill well: with more, pairs that the labelled
+#: texts happen not to hold outweigh the rest in the sum.
+RESAMPLE = resample.ResampleSettings(buckets=1 << 14)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,8 +56,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.QualityRules:
+    """Rules with bands fitted to the texts of ``docs`` that are labelled good."""
+    return quality.fitted_rules(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    return quality.quality_report(table(spark, sf_dir, "documents"), quality_rules(spark, table(spark, sf_dir, "documents"), sf_dir))
 
 
 def byte_bpe() -> bpe.ByteLevelBPE:
@@ -74,7 +83,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return resample.importance_sample(table(spark, sf_dir, "documents"), good)
+    return resample.importance_sample(table(spark, sf_dir, "documents"), good, RESAMPLE)
 
 
 def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:

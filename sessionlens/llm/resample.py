@@ -8,9 +8,8 @@ that ratio per n-gram.  Resampling without replacement in proportion to the
 weights is Gumbel top-k: a Gumbel number drawn from a hash of the id is added to
 the log weight, and the ``keep`` share of documents with the largest sums is kept.
 
-With ``per_word`` (the default) a weight is the mean log ratio times
-``sharpness``, so that the length of a document does not decide; without it the
-plain sum.  Rows of one id (null ids, too) share their Gumbel number.
+The log weight is that sum.  ``per_word`` is another weighting beside it, the mean
+log ratio times ``sharpness``.  Rows of one id (null ids, too) share their Gumbel number.
 
 The counts cover every text: each task adds up its own buckets, and only sums
 per bucket (at most twice ``buckets`` numbers) reach the driver.  The target is
@@ -43,7 +42,7 @@ class ResampleSettings:
     buckets: int = 1 << 16
     smoothing: float = 1.0
     keep: float = 0.85
-    per_word: bool = True
+    per_word: bool = False
     sharpness: float = 50.0
     max_labels: int = 20_000
     seed: int = 42

@@ -11,6 +11,10 @@ blocks whose distances exceed the radii by no more than the threshold in total.
 If u and v differ in e bits of the segment, the home anchor of u is among those
 of v, so each close pair meets at an anchor and is compared there on all 64 bits.
 
+``segments`` is chosen from the number of distinct fingerprints: one segment has
+far more anchors (2 ** 34 instead of 2 ** 18) and sends far more copies, so it pays
+beyond some 10 ** 10 of them.  The classes do not depend on it.
+
 Distinct fingerprints are covered once, however many documents share them.  At
 an anchor, fingerprints of one component are linked as a star, not pair by pair.
 An anchor with more than ``max_group`` fingerprints is cut into blocks; every
@@ -145,6 +149,33 @@ def anchors_of(values: np.ndarray, bits: int, threshold: int) -> Iterator[tuple[
         yield index, anchor, not any(excess)
 
 
+#: Work to send one copy to an anchor (serialise, shuffle, sort), in comparisons of two fingerprints.
+COPY_COST = 1500
+
+
+@lru_cache(8)
+def copies_and_anchors(bits: int, threshold: int) -> tuple[float, float]:
+    """(mean number of anchors that a fingerprint is sent to, number of all anchors) of a segment."""
+    values = np.random.default_rng(0).integers(0, 1 << min(bits, 62), 64)
+    copies = sum(len(index) for index, _, _ in anchors_of(values, bits, threshold)) / len(values)
+    checks = {23: 11, 7: 3, 3: 2, 1: 0}
+    return copies, 2.0 ** sum(width - checks[width] for width in block_widths(bits))
+
+
+def cost_of(segments: int, n: int, distance: int) -> float:
+    """Estimated work per fingerprint, in comparisons: its copies are sent, and its home groups are searched."""
+    work = 0.0
+    for k in range(segments):
+        copies, anchors = copies_and_anchors(BITS * (k + 1) // segments - BITS * k // segments, distance // segments)
+        work += copies * COPY_COST + copies * n / anchors
+    return work
+
+
+def best_segments(n: int, distance: int) -> int:
+    """The number of segments with the least work for ``n`` distinct fingerprints."""
+    return min((1, 2, 3), key=lambda segments: cost_of(segments, n, distance))
+
+
 def cover(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
     """(segment, anchor, fp, home) for every anchor that a fingerprint is sent to."""
     edges = [BITS * k // segments for k in range(segments + 1)]
@@ -282,17 +313,21 @@ def near_duplicates(
     docs: DataFrame,
     distance: int = 3,
     shingle_words: int = 3,
-    segments: int = 2,
+    segments: int | None = None,
     max_group: int = 100_000,
     spread: int = 256,
     seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: ``fp`` and ``component_id``, the smallest doc_id of its near-duplicate class."""
+    """One row per document: ``fp`` and ``component_id``, the smallest doc_id of its near-duplicate class.
+
+    ``segments``: None chooses it by the number of distinct fingerprints.
+    """
     prints = written(with_part(fingerprints(docs, shingle_words, seed, id_col, text_col), "doc_id", spread), "fingerprints")
     shares = written(prints.groupBy("fp", "part").agg(F.min("doc_id").alias("least")), "fingerprint-parts")
     classes = written(shares.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
+    segments = segments or best_segments(classes.count(), distance)
     roots = components(links(cover(classes, distance, segments), distance, max_group))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(with_part(rooted, "fp", spread), "rooted")

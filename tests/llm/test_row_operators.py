@@ -10,6 +10,7 @@ import time
 from collections import Counter
 from math import ceil
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -76,6 +77,64 @@ def test_quality_bands_reject_repetition_and_noise_only():
     assert not kept(prose(2000) + " " + base64_noise * 4)
 
 
+def own_bands(spark, sf):
+    """class -> (least, most) from the labelled texts, by numpy."""
+    compressor = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    seen = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").collect():
+        data = r.text.encode()
+        words = data.split()
+        if r.doc_id in good and len(words) >= 20 and 100 * repeat_words(words) <= 30 * len(words):
+            seen.add((len(data), round(len(data) / (len(compressor.compress(data)) - 4), 4)))
+    classes = {}
+    for n, ratio in seen:
+        classes.setdefault(int(np.floor(2 * np.log2(n))), []).append(ratio)
+    quartiles = {k: np.quantile(v, [0.25, 0.5, 0.75]) for k, v in classes.items() if len(v) >= 50}
+    usual = np.median([(c - a) / b for a, b, c in quartiles.values()])
+    return {k: (a - 3 * max(c - a, usual * b), c + 3 * max(c - a, usual * b)) for k, (a, b, c) in quartiles.items()}
+
+
+def test_fitted_bands_reject_bad_rows_and_keep_good_ones(spark):
+    sf = "/root/testdata/sf0.1"
+    bands = own_bands(spark, sf)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: (r.quality, r.toxic or 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    compressor = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    rejected = {"good": [], "bad": []}
+    for r in queries.op6_quality(spark, sf).collect():
+        data = (texts[r.doc_id] or "").encode()
+        ratio = len(data) / (len(compressor.compress(data)) - 4) if data else 0.0
+        assert r.ratio == pytest.approx(ratio)
+        general = quality.judge(texts[r.doc_id], quality.QualityRules(), compressor)[-1]
+        least, most = bands.get(int(np.floor(2 * np.log2(len(data)))), (0, 1e9)) if data else (0, 1e9)
+        assert r.kept == (general and least <= ratio <= most), r.doc_id
+        which = {(1, 0): "good", (0, 0): "bad"}.get(labels.get(r.doc_id))
+        if which and not r.base_failed:
+            rejected[which].append(not r.kept)
+    assert np.mean(rejected["good"]) <= 0.01 and np.mean(rejected["bad"]) >= 0.33
+
+
+def test_copies_do_not_narrow_their_class(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    texts = [prose(rng.randint(100, 400)) for _ in range(600)]
+    one = texts[0]
+    texts += [one] * 2000 + [one.replace(w, prose(1), 1) for w in rng.choices(one.split(), k=1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = quality.fitted_rules(docs, docs.select("doc_id"))
+    assert len(rules.bands.by_length) > len(quality.CompressionBands().by_length)
+    assert all(r.kept for r in quality.quality_report(docs, rules).collect())
+
+
+def test_fitting_without_enough_texts_and_on_edge_rows(spark, edge_docs, no_docs):
+    ids = edge_docs.select("doc_id")
+    for docs, reference in ((edge_docs, ids), (edge_docs, ids.filter("false")), (no_docs, ids)):
+        assert quality.fitted_rules(docs, reference) == quality.QualityRules()
+    rules = quality.fitted_rules(edge_docs, ids, min_texts=1)
+    assert quality.quality_report(edge_docs, rules).count() == edge_docs.count()
+
+
 def test_keep_good_keeps_columns_and_agrees(edge_docs):
     kept = quality.keep_good(edge_docs)
     assert kept.columns == edge_docs.columns
