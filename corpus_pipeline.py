@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from sessionlens.llm import bpe, decontam, quality, secrets, simhash
 from sessionlens.llm.common import shared_path, written
 from sessionlens.llm.queries import byte_bpe, table
+from sessionlens.llm.queries import quality_rules as rules_of
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that the rules reject go."""
-    return quality.keep_good(docs)
+    """Operator 6: documents that the rules reject go; the bands are fitted to the texts labelled good."""
+    return quality.keep_good(docs, rules_of(spark, docs, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
