@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.llm import bpe, decontam, quality, secrets, simhash
-from sessionlens.llm.common import shared_path, written
 from sessionlens.llm.queries import byte_bpe, table
 from sessionlens.llm.queries import quality_rules as rules_of
+from sessionlens.session import remove_written, shared_path, written, written_removed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what earlier stages wrote is removed as soon as the next one is stored."""
+    stored = None
     for name, stage in STAGES:
         path = shared_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with written_removed():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if stored is not None:
+            remove_written(stored)
+        docs = stored = spark.read.parquet(path)
     return docs

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,7 +81,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet (zstandard) in the shared folder and read back: cuts the lineage, keeps column pruning."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(table)
+    return table
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def written_removed() -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end; results that read them must be stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        remove_written(*_scopes.pop())
 
 
 def remove_written(*tables: DataFrame) -> None:
