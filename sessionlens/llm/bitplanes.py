@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from sessionlens.llm.common import kept_by_worker, map_texts, shared_path, slices, slices_of_bytes, written
+from sessionlens.llm.common import kept_by_worker, map_texts, slices, slices_of_bytes
+from sessionlens.session import remove_written, shared_path, written
 
 MAGIC = b"BPL1"
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -397,4 +398,5 @@ def token_files(docs: DataFrame, tokenizer: bytes, end_id: int, path: str | None
     encoded = written(encode_words(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     path = path or shared_path(spark, "token-files")
     write_tokens(encoded, path)
+    remove_written(encoded)
     return read_documents(spark, path)

@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from sessionlens.llm.common import id_and_text, map_texts, slices_of_bytes, written
+from sessionlens.llm.common import id_and_text, map_texts, slices_of_bytes
+from sessionlens.session import remove_written, written
 from sessionlens.llm.decontam import item_blocks
 
 #: Bytes of text that are Python objects at a time.
@@ -347,7 +348,10 @@ def ranked_search(
         best = best_of_tasks(vectors.select("doc_id", "n", "terms", "tfs"), asked, number, (n_docs, n_all, b), most, tree_entries, leaf_docs)
         names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], StructType([StructField("item", IntegerType()), ids]))
         ranked = ranks(best, most)
-        found.append((written(ranked, "ranked") if n_blocks > 1 else ranked).join(names, "item").select("item_id", "rank", "doc_id", "score"))
+        if n_blocks > 1:
+            ranked = written(ranked, "ranked")
+            remove_written(vectors)
+        found.append(ranked.join(names, "item").select("item_id", "rank", "doc_id", "score"))
     return reduce(DataFrame.union, found)
 
 

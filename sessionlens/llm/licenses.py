@@ -39,19 +39,48 @@ from sessionlens.llm.common import each, id_and_text, map_texts, slices
 #: Label -> phrase whose words must stand consecutively.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: (label, notice): well-known notices of public licenses.
+#: Fixed values, (label, notice): well-known notices of public licenses; of long
+#: licenses the sentences that tell them apart, each of at most 64 words.  Of fewer
+#: than ten different words every one must be there (threshold 0.9): short notices
+#: stand for licenses that differ from another in one word.
 TEMPLATES = (
+    ("agpl", "under the terms of the GNU Affero General Public License"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("artistic-2.0", "You are permitted to use this Package under the terms of the Artistic License 2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "available under the Creative Commons Attribution-ShareAlike License"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("ms-pl", "Microsoft Public License (Ms-PL)"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("upl-1.0", "Licensed under the Universal Permissive License v 1.0"),
+    ("wtfpl", "This program is free software. It comes without any warranty, to the extent permitted by applicable law"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
 
 #: Bytes outside words become spaces, A-Z becomes a-z; line feeds stay.

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from sessionlens.llm.common import Remembered, each, id_and_text, kept_by_worker, map_texts, slices, written
+from sessionlens.llm.common import Remembered, each, id_and_text, kept_by_worker, map_texts, slices
+from sessionlens.session import written
 
 
 @dataclass(frozen=True)

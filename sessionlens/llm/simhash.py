@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sessionlens.llm.common import each, map_texts, written
+from sessionlens.llm.common import each, map_texts
+from sessionlens.session import remove_written, written
 
 BITS = 64
 GOLAY = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, generator of the [23, 12] code
@@ -281,7 +282,8 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Rounds of large star (each node sends its larger neighbours to its smallest)
     and small star (each node sends its smaller neighbours to its smallest), until
-    the links stay the same.  Each round is written to the shared folder.
+    the links stay the same.  Each round is written to the shared folder, and the
+    tables that it was made of are removed.
     """
     now = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -292,9 +294,11 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         large = written(large.distinct(), "links")
+        remove_written(now, least)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        remove_written(large, least)
         if (own := print_of(now)) == last:
             break
         last = own
@@ -331,6 +335,7 @@ def near_duplicates(
     roots = components(links(cover(classes, distance, segments), distance, max_group))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(with_part(rooted, "fp", spread), "rooted")
+    remove_written(classes, roots)
     root_shares = rooted.groupBy("root", "part").agg(F.min("least").alias("least"))
     least = root_shares.groupBy("root").agg(F.min("least").alias("component_id"))
     # members meet their class by (root, part), documents their fingerprint by (fp, part): a class or a

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from sessionlens.llm.common import written
+from sessionlens.session import remove_written, written
 
 #: Vectors of more dimensions are refused: the driver holds a square of them.
 MAX_DIMENSIONS = 8192
@@ -171,6 +171,7 @@ def whiten(vectors: DataFrame, components: int = 4, scale: int = 256, id_col: st
         return nothing
     rows_w = written(projected(vectors.sparkSession, block_matrix(rows, n, sums, n_rows), whitening), "whitened")
     error = identity_error(rows_w.join(fit.select("row"), "row"), c)
+    remove_written(fit)
     one = lambda total, v: F.try_add(total, F.try_multiply(v, v))
     off = F.zip_with("x", F.lit(sums) if max(map(abs, sums)) < 1 << 63 else F.lit([None] * d).cast("array<long>"), lambda v, s: F.try_subtract(F.try_multiply(F.lit(n).cast("long"), v), s))
     deviation = rows.select("row", "vec_id", F.aggregate(off, F.lit(0).cast("long"), one).alias("deviation"))

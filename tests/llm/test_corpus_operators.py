@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sessionlens import session
 from sessionlens.llm import bitplanes, decontam, quality, queries, resample, secrets, simhash
 
 from .conftest import SF
@@ -236,6 +237,22 @@ def test_links_in_clusters_and_split_groups(spark):
         assert {k: min(own) for own in classes.values() for k in own} == want
 
 
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.best_segments(n, 3) for n in (0, 1000, 10**9, 10**11)] == [2, 2, 2, 1]
+    assert simhash.copies_and_anchors(64, 3)[1] == 2**34 and simhash.copies_and_anchors(32, 1)[1] == 2**18
+
+
+def test_tables_of_the_component_rounds_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(k, f"some words of text {k // 3}") for k in range(30)], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 30
+    left = sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir())
+    assert left == ["fingerprint-parts", "fingerprints", "rooted"]
+    with session.written_removed():
+        corpus_pipeline.near_dedup(spark, docs.withColumn("lang", F.lit("en")), SF).write.parquet(str(tmp_path / "kept"))
+    assert len(list(tmp_path.iterdir())) == 4 and spark.read.parquet(str(tmp_path / "kept")).count() == 10
+
+
 def test_simhash_edges(edge_docs, no_docs):
     got = simhash.near_duplicates(edge_docs).collect()
     assert len(got) == edge_docs.count()

@@ -270,6 +270,27 @@ def test_wrapped_notices_are_found():
     assert licenses.scan("x\nReleased under the MIT License\ny", index, 128)[7] == 1
 
 
+def test_labels_of_whole_notices():
+    """A notice of many sentences bears its own labels only, wrapped, quoted or upper-cased."""
+    index = licenses.TemplateIndex(licenses.TEMPLATES, licenses.PHRASES, {}, 0.9)
+    by_label = {}
+    for label, text in licenses.TEMPLATES:
+        by_label.setdefault(label, []).append(text)
+    assert len(by_label) > 20 and max(len(license_words(t)) for _, t in licenses.TEMPLATES) <= 64
+    # notices that hold the words of another's sentence, too
+    within = {"agpl": {"gpl"}, "lgpl": {"gpl"}, "cc-by-nc": {"cc-by"}}
+    full = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"
+    for text, want in ((full, "cc-by,cc-by-sa"), (full.replace("-ShareAlike", ""), "cc-by"), (full.replace("ShareAlike", "NoDerivatives"), "cc-by,cc-by-nd")):
+        assert licenses.scan(text, index, 128)[5] == want
+    for label, sentences in by_label.items():
+        notice = "Copyright 2020 Somebody\n\n" + ".\n\n".join(sentences)
+        words = notice.split()
+        wrapped = "\n".join(" * " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+        for text in (notice, wrapped, notice.upper()):
+            got = set(licenses.scan(text, index, 128)[5].split(","))
+            assert label in got and got <= {label} | within.get(label, set()) | ({"bsd"} if label == "bsd-3-clause" else set()), (label, got)
+
+
 # --- secrets ----------------------------------------------------------------
 
 SECRETS = [
