@@ -16,9 +16,10 @@ the middle one of all classes, so that a group of copies does not narrow its cla
 The reference should hold every language of the corpus; lengths with too few
 reference texts keep the general bands.
 
-Judging is one pass, no shuffle; a task holds one slice of texts.  Fitting reads
-the texts once more and brings three quartiles per class (about 60 classes) to the
-driver.  Null and empty texts
+Judging is one pass, no shuffle; a task holds one slice of texts.  Fitting measures
+every text once more; ids and measures meet in a join (shuffled where the ids are too
+many to broadcast, four numbers a row) and three quartiles per class (about 60
+classes) go to the driver.  Null and empty texts
 have no words and are rejected (fewer than ``min_words``).  Repeated rows and
 ids are judged row by row; an empty table gives an empty result.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType
 
-from sessionlens.llm.common import each, id_and_text, map_texts, slices
+from sessionlens.llm.common import each, map_texts, slices
 
 SYMBOLS = "#*$%&|<>"
 
@@ -161,20 +162,16 @@ def fitted_rules(
     rules: QualityRules = QualityRules(),
     fence: float = 3.0,
     min_texts: int = 50,
-    max_labels: int = 20_000,
-    seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> QualityRules:
     """``rules`` with bands narrowed to the reference texts.
 
-    ``reference``: ids of good texts in a column ``doc_id``, of which the
-    ``max_labels`` of the smallest hash count.  Texts that the base rules reject
-    are left out; a class of fewer than ``min_texts`` texts keeps its limits.
+    ``reference``: ids of good texts in a column ``doc_id``; every one of them counts.
+    Texts that the base rules reject are left out; a class of fewer than
+    ``min_texts`` texts keeps its limits.
     """
     ids = reference.select("doc_id").filter("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labels)
-    texts = id_and_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id", "left_semi")
 
     def make():
         compressor = zstandard.ZstdCompressor(level=rules.bands.level, write_content_size=False)
@@ -187,8 +184,9 @@ def fitted_rules(
 
         return each(row)
 
-    found = map_texts(texts, make, [("class", LongType()), ("n_bytes", LongType()), ("ratio", DoubleType())])
-    found = found.filter("class is not null").select("class", "n_bytes", "ratio").distinct()
+    # the measures meet the ids, so that no text is shuffled where the ids are too many to broadcast
+    found = map_texts(docs, make, [("class", LongType()), ("n_bytes", LongType()), ("ratio", DoubleType())], id_col, text_col)
+    found = found.filter("class is not null").join(ids, "doc_id", "left_semi").select("class", "n_bytes", "ratio").distinct()
     per_class = found.groupBy("class").agg(F.count("*").alias("n"), F.percentile("ratio", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
     quartiles = {r["class"]: tuple(r.q) for r in per_class.filter(F.col("n") >= min_texts).collect()}
     return replace(rules, bands=narrowed(rules.bands, quartiles, fence))

@@ -127,6 +127,23 @@ def test_copies_do_not_narrow_their_class(spark):
     assert all(r.kept for r in quality.quality_report(docs, rules).collect())
 
 
+def test_every_reference_text_counts(spark):
+    """26,000 references: the bands are the fences of all their ratios, whatever order the ids come in."""
+    words = lambda n, k: " ".join(f"{(k * 7919 + i * i * 104729) % 99991:x}" for i in range(n))
+    texts = [words(40 + k % 3, k) for k in range(26_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = quality.fitted_rules(docs, docs.select("doc_id").union(docs.select("doc_id")))
+    compressor = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    sizes = [(len(t.encode()), round(quality.ratio(compressor, t.encode()), 4)) for t in texts]
+    classes = {}
+    for size, ratio in set(sizes):
+        classes.setdefault(quality.length_class(size), []).append(ratio)
+    quartiles = {c: tuple(np.percentile(r, (25, 50, 75))) for c, r in classes.items() if len(r) >= 50}
+    want = quality.narrowed(quality.CompressionBands(), quartiles, 3.0)
+    assert len(quartiles) >= 1
+    np.testing.assert_allclose(got.bands.by_length, want.by_length)
+
+
 def test_fitting_without_enough_texts_and_on_edge_rows(spark, edge_docs, no_docs):
     ids = edge_docs.select("doc_id")
     for docs, reference in ((edge_docs, ids), (edge_docs, ids.filter("false")), (no_docs, ids)):
