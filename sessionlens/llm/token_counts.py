@@ -18,6 +18,11 @@ Where a cut is safe follows from the tokenizer's own steps (``boundary_of``):
 * any other tokenizer, SentencePiece models among them: never, a text is whole.
 
 A text without a safe place (a single word of a million letters) stays one piece.
+
+Where blanks only separate, a text is cut at every blank and the library counts each
+distinct word once: a Python worker remembers the counts of the words of up to
+``REMEMBERED_CHARS`` characters that it met (about ``REMEMBERED_WORDS``; then it
+starts again); longer words are counted as pieces wherever they occur.
 """
 
 from __future__ import annotations
@@ -40,7 +45,12 @@ MAX_TOKENIZER_BYTES = 64 << 20
 #: Bytes of text that are Python objects at a time, of a batch for the library, and of a piece of a long text.
 SLICE_BYTES, BATCH_BYTES, PIECE_BYTES = 4 << 20, 1 << 18, 1 << 16
 
+#: Longest word (characters) whose count is remembered, after how many of them the others than a text's own are forgotten,
+#: and about how many characters of a text are cut into words at a time.
+REMEMBERED_CHARS, REMEMBERED_WORDS, WORDS_CHARS = 40, 400_000, 1 << 20
+
 SEPARATED = re.compile("[ \t\r\n]|[0-9](?=[0-9A-Za-z])")
+WORD = re.compile("[^ \t\r\n]+")
 BYTE_LEVEL = re.compile("[0-9A-Za-z](?= [0-9A-Za-z])")
 
 
@@ -80,8 +90,10 @@ def pieces(text: str, boundary: re.Pattern | None, most: int = PIECE_BYTES) -> I
 class TokenCounter:
     """Counts the tokens of texts; ``count`` is the library's count of each text of a batch."""
 
-    def __init__(self, count: Callable[[list[str]], list[int]], boundary: re.Pattern | None, batch_bytes: int = BATCH_BYTES, piece: int = PIECE_BYTES) -> None:
+    def __init__(self, count: Callable[[list[str]], list[int]], boundary: re.Pattern | None, batch_bytes: int = BATCH_BYTES, piece: int = PIECE_BYTES, most_words: int = REMEMBERED_WORDS) -> None:
         self.count, self.boundary, self.batch_bytes, self.piece = count, boundary, batch_bytes, piece
+        self.known: dict[str, int] = {}
+        self.most_words = most_words
 
     @classmethod
     def of_tokenizer(cls, data: bytes, **sizes: int) -> TokenCounter:
@@ -104,6 +116,25 @@ class TokenCounter:
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text (null: none)."""
+        if self.boundary is not SEPARATED:
+            return self.counts_of_pieces(texts)
+        return [sum(map(self.count_of_words, map(WORD.findall, pieces(text or "", SEPARATED, WORDS_CHARS)))) for text in texts]
+
+    def count_of_words(self, words: list[str]) -> int:
+        """The number of tokens of all the words; the library counts those that are not remembered."""
+        missing = list(set(words).difference(self.known))
+        if missing:
+            if len(self.known) >= self.most_words:
+                self.known = {w: self.known[w] for w in set(words) if w in self.known}
+            self.known.update(zip(missing, self.counts_of_pieces(missing), strict=True))
+        n = sum(map(self.known.__getitem__, words))
+        for word in missing:
+            if len(word) > REMEMBERED_CHARS:
+                del self.known[word]
+        return n
+
+    def counts_of_pieces(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text, counted piece by piece."""
         out, batch, owners, held = [0] * len(texts), [], [], 0
         for place, text in enumerate(texts):
             for piece in pieces(text or "", self.boundary, self.piece):

@@ -165,6 +165,26 @@ def test_counts_of_cut_texts_equal_library(name):
     assert (counter.boundary is None) == name.endswith(".model")
 
 
+def test_a_word_met_again_is_not_counted_again():
+    asked, counted = [], lambda batch: [asked.append(p) or len(p) for p in batch]
+    counter = token_counts.TokenCounter(counted, token_counts.SEPARATED)
+    assert counter.counts(["ab ab\tc", None, "", " \n", "c ab" * 3]) == [5, 0, 0, 0, 9]
+    assert counter.counts(["ab c cab " * 1000 + "d"]) == [6001]
+    assert sorted(asked) == ["ab", "abc", "c", "cab", "d"]
+    asked.clear()
+    assert counter.counts(["x" * 41 + " ab"] * 2) == [43] * 2 and counter.counts(["x" * 41]) == [41]
+    assert asked == ["x" * 41] * 3
+
+
+def test_few_remembered_words_change_no_count():
+    data, want, rng = token_counts.read_tokenizer_file(public_tokenizers.path("word_bpe_49k.json")), library_count("word_bpe_49k.json"), random.Random(5)
+    counter = token_counts.TokenCounter.of_tokenizer(data, most_words=20)
+    for _ in range(20):
+        texts = ["".join(rng.choices(SIGNS, k=rng.randint(0, 60))) for _ in range(40)]
+        assert counter.counts(texts) == [want(t) for t in texts]
+        assert len(counter.known) < 100
+
+
 def test_pieces_are_cut_at_safe_places_only():
     cut = lambda text, most: list(token_counts.pieces(text, token_counts.SEPARATED, most))
     assert cut("ab cd ef", 3) == ["ab ", "cd ", "ef"]
