@@ -1,5 +1,10 @@
 """Property checks: results do not depend on partitioning; shares and rates are consistent."""
 
+import datetime
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +70,17 @@ def test_journey_chunking_does_not_change_results(lab, hot):
     cfg = dict(max_steps=3, drop_repeats=False)
     assert _rows(paths.build_session_journeys(lab, paths.JourneyConfig(hot_session_rows=hot, hot_chunks=5, **cfg))) == _rows(
         paths.build_session_journeys(lab, paths.JourneyConfig(**cfg)))
+
+
+def test_shares_of_periods_hold_no_set_of_user_periods(spark):
+    """The same shares as of each kind of period by itself, and no aggregate with a row per (user, period)."""
+    rng = random.Random(8)
+    start = datetime.datetime(2023, 12, 28)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *(start + datetime.timedelta(hours=rng.randint(0, 1500)) for _ in range(9))])) for _ in range(600)]
+    events = spark.createDataFrame(rows, "user_id long, date timestamp_ntz")
+    assigned = spark.createDataFrame([(u, [0, 1, None, -1][u % 4]) for u in range(11)], "user_id long, segment_id int")
+    got = stability.segment_shares_of_periods(events, assigned, ("W", "M", "D"))
+    want = {(p, *r) for p in "WMD" for r in stability.segment_shares(events, assigned, p).collect()}
+    assert len(want) > 60 and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().optimizedPlan().toString())
+    assert "Aggregate [user_id, day]" in plan and "Aggregate [user_id, segment_id, " not in plan
