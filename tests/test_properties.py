@@ -84,3 +84,13 @@ def test_shares_of_periods_hold_no_set_of_user_periods(spark):
     assert len(want) > 60 and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().optimizedPlan().toString())
     assert "Aggregate [user_id, day]" in plan and "Aggregate [user_id, segment_id, " not in plan
+
+
+def test_partitions_of_monthly_events_go_by_rows(spark, monkeypatch):
+    plain = dt.monthly_events(spark, SF)
+    monkeypatch.setattr(dt, "EVENTS_A_PARTITION", 100)
+    cut = dt.monthly_events(spark, SF)
+    n = -(-dt.table(spark, SF, "lineitem").count() // 100)
+    assert n > 40 and cut.rdd.getNumPartitions() == n
+    assert Counter(plain.collect()) == Counter(cut.collect())
+    assert dt.partitions_for(0, 8) is None and dt.partitions_for(800, 8) is None and dt.partitions_for(801, 8) == 9
