@@ -47,12 +47,13 @@ from sessionlens.session import remove_written, shared_path, written
 
 MAGIC = b"BPL1"
 MAX_TOKENIZER_BYTES = 64 << 20
-#: Distinct words whose ids a Python worker remembers; beyond it those of the last slice stay.
-CACHED_WORDS = 1_000_000
+#: Distinct words whose ids a Python worker remembers, and bytes of both; beyond either those of the last slice stay.
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 32 << 20
 #: Bytes of text that are cut into words at a time (one text at least).
-SLICE_BYTES = 16 << 20
-#: New words that the library is asked for at a time.
-ASKED_WORDS = 256
+SLICE_BYTES = 8 << 20
+#: New words of letters that the library is asked for in one text, and pieces in one call: what it
+#: returns for a piece takes far more memory than the ids.
+ASKED_WORDS, ASKED_PIECES = 256, 2048
 
 
 # --- planes -----------------------------------------------------------------
@@ -143,8 +144,11 @@ class WordEncoder:
 
     def ask(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, from the library."""
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        out = []
+        for k in range(0, len(pieces), ASKED_PIECES):
+            found = self.tokenizer.encode_batch_fast(pieces[k : k + ASKED_PIECES], add_special_tokens=False)
+            out += [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return out
 
     def ask_words(self, words: list[str], folded: bool) -> list[bytes]:
         """Ids of each word of letters."""
@@ -172,7 +176,7 @@ class WordEncoder:
             found.update(zip(some, self.ask_words(some, folded), strict=True))
         found.update([(p, found[p[:-1]] + stops[p[-1]]) for p in stopped])
         others = [p for p in pieces if p not in found]
-        found.update(zip(others, self.ask(others) if others else (), strict=True))
+        found.update(zip(others, self.ask(others), strict=True))
         return list(map(found.__getitem__, pieces))
 
     def encode_cut(self, texts: list[str], folded: bool) -> list[bytes]:
@@ -188,7 +192,7 @@ class WordEncoder:
             self.words = pa.concat_arrays([self.words, new])
             self.ids = pa.concat_arrays([self.ids, pa.array(self.learn(lines(new), folded), pa.large_binary())])
         own = self.ids.take(pa.array(place))
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > CACHED_WORDS or self.words.nbytes + self.ids.nbytes > CACHED_BYTES:
             self.words, self.ids = distinct, own
         _, starts, data = own.take(pieces.indices).buffers()
         edges = np.frombuffer(starts, np.int64)[cut.offsets.to_numpy()].tolist()
@@ -235,7 +239,9 @@ def encode_words(docs: DataFrame, tokenizer: bytes, end_id: int, id_col: str = "
         end = end_id.to_bytes(width, "little")
 
         def work(texts):
-            return [(len(ids) // width + 1, ids + end) for ids in encoder.encode(texts)]
+            rows = [(len(ids) // width + 1, ids + end) for ids in encoder.encode(texts)]
+            pa.default_memory_pool().release_unused()  # a worker stays for later stages; Arrow would keep what a slice took
+            return rows
 
         return work
 

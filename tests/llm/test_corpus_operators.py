@@ -127,6 +127,31 @@ def test_words_that_lose_a_mark_before_a_stop(size):
         assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in got] == want[start : start + 500]
 
 
+class Asked:
+    """A tokenizer that notes how many pieces it is asked for at a time."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.most = tokenizer, 0
+
+    def encode_batch_fast(self, pieces, **options):
+        self.most = max(self.most, len(pieces))
+        return self.tokenizer.encode_batch_fast(pieces, **options)
+
+
+def test_encoder_memory_is_bounded():
+    encoder, library = bitplanes.WordEncoder(bitplanes.read_tokenizer(WORD_BPE)), Tokenizer.from_file(WORD_BPE)
+    encoder.tokenizer = asked = Asked(encoder.tokenizer)
+    texts = [" ".join(f"x{k}-{j}" for j in range(500)) for k in range(20)]  # no words of letters: each is a piece of its own
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(texts)] == want
+    assert asked.most <= bitplanes.ASKED_PIECES < 10_000
+    long = ["ab" * (1 << 19) + f" {k}" for k in range(0, 36)]  # few pieces, many bytes
+    for k, text in enumerate(long):
+        encoder.encode([f"{k}{text}"])
+        assert encoder.words.nbytes + encoder.ids.nbytes <= bitplanes.CACHED_BYTES
+    assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(texts)] == want
+
+
 def test_rows_of_one_id_spread_over_shards(spark, tmp_path):
     docs = spark.createDataFrame([(7, f"text {k}") for k in range(400)] + [(None, f"none {k}") for k in range(200)], "doc_id long, text string")
     path = str(tmp_path / "files")
